@@ -17,6 +17,7 @@ from grovekit.llm.common import cut
 N = 8
 MIN_ITEMS = 2
 BROADCAST_WINDOWS = 200_000
+_BLOCK = 32  # words
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # before A-Z are lower-cased
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _END = "\x01"  # no word holds it: a last element that every document has, so that each gives a row
@@ -58,12 +59,21 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "
     end = windows.sparkSession.range(1).select(F.lit(_END).alias("anchor"), F.lit(0).alias("at"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("item_ids"))
     windows = windows.unionByName(end)
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), _words(F.col(text_col)).alias("w"))
-    places = words.select("doc_id", "text_key", "w", F.posexplode(F.array_append("w", F.lit(_END))).alias("pos", "word"))
+    # Generate copies what stands beside it to each row, so words are first cut into short overlapping blocks.
+    around = n - 1
+    block = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(_BLOCK)),
+        lambda i: F.struct(i.alias("base"), F.least(i, F.lit(around)).alias("lead"), F.slice("w", F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + _BLOCK + around).alias("w")),
+    )
+    last = F.struct(F.lit(-1).alias("base"), F.lit(0).alias("lead"), F.array(F.lit(_END)).alias("w"))
+    blocks = words.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.explode(F.array_append(block, last)).alias("b"))
+    places = blocks.select("doc_id", "text_key", "n_words", "b", F.posexplode(F.slice("b.w", F.col("b.lead") + 1, F.lit(_BLOCK))).alias("p", "word"))
     found = places.join(F.broadcast(windows) if few else windows, F.lower("word") == F.col("anchor"))
-    start = F.col("pos") - F.col("at")
-    same = F.when(start >= 0, _folded(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window"))) == F.col("window"))
+    inside = F.col("b.lead") + F.col("p") - F.col("at")
+    same = F.when(inside >= 0, _folded(F.slice("b.w", F.greatest(inside, F.lit(0)) + 1, F.size("window"))) == F.col("window"))
     found = found.filter(F.col("window").isNull() | same)
-    hits = found.select("doc_id", "text_key", "item_ids", F.size("w").cast("long").alias("n_words"), F.when(F.col("window").isNotNull(), F.struct(start.alias("s"), F.size("window").alias("k"))).alias("hit"))
+    start = F.col("b.base") + F.col("p") - F.col("at")
+    hits = found.select("doc_id", "text_key", "n_words", "item_ids", F.when(F.col("window").isNotNull(), F.struct(start.alias("s"), F.size("window").alias("k"))).alias("hit"))
     gathered = hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"), F.count_if(F.col("hit").isNull()).alias("copies"),
         F.collect_set("hit").alias("hits"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"),
