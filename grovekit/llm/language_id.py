@@ -89,13 +89,19 @@ class LanguageModel:
 
 
 def balanced_sample(rows: DataFrame, class_col: str, key: Column, n: int) -> DataFrame:
-    """At most ``n`` rows, about as many of each class, the same on every run: ordered by hashed key times class size."""
+    """At most ``n`` rows, about as many of each class, the same on every run.
+
+    A row's place is its hashed key, in [0, 1), times its class's size; rows
+    beyond what is needed are left out before the rest is sorted.
+    """
     sizes = {r[0]: r[1] for r in rows.groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(1000).collect()}
     if not sizes:
         return rows.limit(0)
     size = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])[F.col(class_col)]
     order = (F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))) * size
-    return rows.withColumn("__order", order).orderBy("__order", key).limit(n)
+    each = n / len(sizes)
+    spare = n if min(sizes.values()) < each else each  # small classes leave room to the others
+    return rows.withColumn("__order", order).filter(F.col("__order") < spare + 5 * spare**0.5 + 10).orderBy("__order", key).limit(n)
 
 
 def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> LanguageModel:
