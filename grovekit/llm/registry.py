@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import chat_format, decontamination, html_text, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules
+from grovekit.llm import chat_format, decontamination, html_text, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, suffix_dedup
 from grovekit.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_html_text": op5_html_text,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
