@@ -10,12 +10,13 @@
    are filtered by size and by the places of the gram, then expanded to members.
    Shared prefix grams of a pair are counted and bounded against the overlap
    that a link needs.
-4. Lists over ``SMALL`` units first pair members with a few pivots. After those
-   links are known, only pairs in different components are left to compare, so
-   a group of near copies costs about its size, and still no pair that could
-   join two components is skipped.
+4. Lists over ``SMALL`` units are not paired. Their units meet in the blocks of
+   their ``HOMES`` commonest such grams, where whole sets are compared at once by
+   matrix products and a spanning forest of the links leaves the block; pairs of
+   a long list that share no home, and are not yet in one component, are paired.
 5. Candidates are verified on the sets of their whole texts, and links are
-   joined to components by alternating stars.
+   joined to components by alternating stars. Every pair that could join two
+   components is compared; a group of near copies costs rows by its size.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from grovekit.llm.rolling import word_ngrams
 
 N = 4
 PERCENT = 85
-SMALL = 64  # units of a list that are paired at once
+SMALL = 16  # units of a list that are paired at once
+HOMES = 3  # commonest grams of long lists whose blocks a unit visits
+BLOCK_UNITS, BLOCK_GRAMS = 1500, 1_500_000  # of one side of a block
+DENSE_CELLS = 50_000_000
 HOT_GRAMS = 1 << 20  # at most so many grams are put last
-PIVOTS = 8
 BROADCAST_IDS = 1_000_000
 FAN = 64  # partners of a text that one verifying group holds
 _FLUSH = 3_000_000  # grams that a task packs at once
@@ -190,7 +193,7 @@ _PAIRS = "a long, b long, shared int, lack int, token long, units binary, sizes
 
 
 def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame:
-    """Candidate pairs of units with the shared prefix grams seen and still lacking, and the members of long lists (``token`` set)."""
+    """Candidate pairs of units with the shared prefix grams seen and still lacking, and the members of long lists (``token`` set, ``shared`` their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(7)]
@@ -243,9 +246,8 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
         out: list[pa.RecordBatch] = []
         names = ["a", "b", "shared", "lack", "token", "units", "sizes", "places"]
 
-        def keep(x: np.ndarray, y: np.ndarray, star: bool) -> None:
-            ok = _close(size[who[x]], size[who[y]], place[x], place[y], percent) if star else slice(None)
-            x, y = who[x[ok]], who[y[ok]]
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = who[x], who[y]
             p, q = unit[x], unit[y]
             x, y, p, q = np.where(p < q, x, y), np.where(p < q, y, x), np.minimum(p, q), np.maximum(p, q)
             if not len(x):
@@ -256,65 +258,172 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
             seen = np.diff(np.append(at, len(p)))
             x, y, p, q = x[at], y[at], p[at], q[at]
             rest = np.maximum(size[x] - prefix_length(size[x], percent), size[y] - prefix_length(size[y], percent))
-            lack = np.zeros(len(p), np.int64) if star else needed(size[x], size[y], percent) - rest - np.minimum(hots[x], hots[y])
+            lack = needed(size[x], size[y], percent) - rest - np.minimum(hots[x], hots[y])
             none = pa.nulls(len(p), pa.binary())
             out.append(pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(seen, pa.int32()), pa.array(lack, pa.int32()), pa.nulls(len(p), pa.int64()), none, none, none], names=names))
 
         if left:
-            keep(np.concatenate(left), np.concatenate(right), False)
+            keep(np.concatenate(left), np.concatenate(right))
         for a, k in zip(edge[:-1][~few].tolist(), length[~few].tolist(), strict=True):
-            rows = a + np.arange(k)
-            by_size = rows[np.lexsort((unit[who[rows]], size[who[rows]]))]
-            pivots = by_size[np.unique(np.linspace(0, k - 1, PIVOTS).astype(int))]
-            for pivot in pivots.tolist():
-                keep(np.full(k - 1, pivot), rows[rows != pivot], True)
-            for at in range(0, k, 10_000):
-                part = by_size[at : at + 10_000]
+            for at in range(a, a + k, 10_000):
+                part = np.arange(at, min(at + 10_000, a + k))
                 one = lambda x: pa.array([x.tobytes()], pa.binary())
                 token = pa.array(g[a : a + 1].view(np.int64))
-                out.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [pa.nulls(1, pa.int32())] * 2 + [token, one(unit[who[part]]), one(size[who[part]].astype(np.int32)), one(place[part].astype(np.int32))], names=names))
+                out.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [pa.array([k], pa.int32()), pa.nulls(1, pa.int32()), token, one(unit[who[part]]), one(size[who[part]].astype(np.int32)), one(place[part].astype(np.int32))], names=names))
         yield from out
 
     return runs.repartition(n_parts, "bucket").mapInArrow(run, _PAIRS)
 
 
-def _across(lists: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Pairs from long lists whose units lie in different components.
-
-    A list is cut into bands of size within which alone links can lie; a unit
-    also visits the next band, where it meets that band's own units.
-    """
+def _members(lists: DataFrame) -> DataFrame:
+    """``token, many, unit, size, place`` of the units in long lists."""
     kinds = (("unit", np.int64), ("size", np.int32), ("place", np.int32))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for token, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for token, many, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 unit, size, place = (np.frombuffer(x, k) for x, (_, k) in zip(row, kinds, strict=True))
-                band = np.floor(np.log(size) / np.log(100 / percent) + 1e-9).astype(np.int32)
-                for guest in (False, True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), token)), pa.array(band + guest), pa.array(np.full(len(unit), guest)), pa.array(unit), pa.array(size), pa.array(place)], names=["token", "band", "guest", "unit", "size", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), token)), pa.array(np.full(len(unit), many, np.int32)), pa.array(unit), pa.array(size), pa.array(place)], names=["token", "many", "unit", "size", "place"])
+
+    return lists.select("token", F.col("shared").alias("many"), "units", "sizes", "places").mapInArrow(run, "token long, many int, unit long, size int, place int")
+
+
+def _visits(rows: DataFrame, percent: int) -> DataFrame:
+    """Each row in its own band and, as a guest, in the next one."""
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    return rows.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("guest").cast("int"))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    if not left or not right:
+        return np.zeros((len(left), len(right)), np.int64)
+    lens = [len(x) for x in (*left, *right)]
+    grams, column, many = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    common = many > 1
+    if common.sum() * len(lens) > DENSE_CELLS:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left], np.int64)
+    rank = np.cumsum(common) - 1
+    who = np.repeat(np.arange(len(lens)), lens)
+    keep = common[column]
+    who, column = who[keep], rank[column[keep]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    for low in range(0, int(common.sum()), 2048):
+        a, z = np.searchsorted(column, (low, low + 2048))
+        m = np.zeros((len(lens), 2048), np.float32)
+        m[who[a:z], column[a:z] - low] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _forest(adjacent: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of a symmetric adjacency matrix."""
+    new, a, b = np.ones(len(adjacent), bool), [], []
+    for root in range(len(adjacent)):
+        if not new[root]:
+            continue
+        new[root] = False
+        queue = [root]
+        while queue:
+            u = queue.pop()
+            found = np.flatnonzero(adjacent[u] & new)
+            new[found] = False
+            a += [u] * len(found)
+            b += found.tolist()
+            queue += found.tolist()
+    return a, b
+
+
+def _blocks(docs: DataFrame, units: DataFrame, homes: DataFrame, n: int, percent: int, n_parts: int) -> DataFrame:
+    """A spanning forest of links ``a, b`` of each block of units ``unit, size, token``.
+
+    A token's units are cut by bands of size and dealt to parts of bounded grams;
+    every two parts of a band meet once, and a unit visits the next band as guest.
+    """
+    rows = _visits(homes, percent)
+    sizes = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"), F.count_if(~F.col("guest")).alias("own"))
+    deals = F.ceil(F.greatest(F.col("m") / BLOCK_UNITS, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    sizes = sizes.filter("own > 0 and m > 1").select("token", "band", deals.alias("deals"))
+    rows = rows.join(sizes, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("unit"), F.col("deals")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
+    rows = rows.withColumn("other", other).select("unit", "token", "band", "guest", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    ids = cut(units.join(rows, "unit").select(F.col("rep").alias("doc_id"), "unit", "token", "band", "guest", "part", "i", "j"))
+    keys = ["token", "band", "i", "j"]
+    dealt = _texts_of(docs, ids).repartition(n_parts, *keys).sortWithinPartitions(*keys, "unit")
+
+    def compare(group: list[tuple]) -> pa.RecordBatch:
+        i, j = group[0][0][2:]
+        unit, part = np.array([g[1] for g in group]), np.array([g[2] for g in group])
+        guest, sets = np.array([g[3] for g in group]), [g[4] for g in group]
+        left = np.flatnonzero(part == i)
+        right = left if i == j else np.flatnonzero(part == j)
+        size = np.array([len(s) for s in sets])
+        both = _overlaps([sets[x] for x in left], [sets[x] for x in right])
+        ok = 100 * both >= percent * (size[left][:, None] + size[right][None] - both)
+        ok &= ~(guest[left][:, None] & guest[right][None]) & (unit[left][:, None] != unit[right][None])
+        adjacent = np.zeros((len(unit), len(unit)), bool)
+        adjacent[np.ix_(left, right)] = ok
+        a, b = _forest(adjacent | adjacent.T)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(unit[a], unit[b]) if a else [], pa.int64()), pa.array(np.maximum(unit[a], unit[b]) if a else [], pa.int64())], names=["a", "b"])
 
-    rows = lists.select("token", "units", "sizes", "places").mapInArrow(unpack, "token long, band int, guest boolean, unit long, size int, place int")
-    rows = rows.join(of, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    mixed = rows.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "band")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for b in slices(batches, 4 << 20):
+            sets = word_ngrams([t.lower() for t in text_bytes(b.column("text"))], n)
+            for s, unit, part, guest, *key in zip(sets, *(b.column(c).to_pylist() for c in ("unit", "part", "guest", *keys)), strict=True):
+                if not len(s) or _key(s) != unit:  # another text under the same id
+                    continue
+                if key != now:
+                    if len(group) > 1:
+                        yield compare(group)
+                    now, group = key, []
+                group.append((key, unit, part, guest, s))
+        if len(group) > 1:
+            yield compare(group)
+
+    return dealt.select("text", "unit", "part", "guest", *keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def _strangers(members: DataFrame, homes: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists that share no home and lie in different components."""
+    rows = members.join(homes.groupBy("unit").agg(F.array_sort(F.collect_set("token")).alias("homes")), "unit").join(of, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    rows = _visits(rows, percent)
+    mixed = rows.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_distinct("homes").alias("kinds")).filter("lo <> hi and kinds > 1").select("token", "band")
     rows = rows.join(mixed, ["token", "band"])
 
     def pair(key, table):
         unit, comp, guest = table["unit"].to_numpy(), table["component"].to_numpy(), table["guest"].to_numpy(zero_copy_only=False)
         size, place = table["size"].to_numpy().astype(np.int64), table["place"].to_numpy().astype(np.int64)
-        by = np.lexsort((unit, size))
-        unit, comp, guest, size, place = unit[by], comp[by], guest[by], size[by], place[by]
+        kinds: dict[tuple, int] = {}
+        kind = np.array([kinds.setdefault(tuple(h), len(kinds)) for h in table["homes"].to_pylist()])
+        every = [set(k) for k in kinds]
+        apart = [np.array([k for k, other in enumerate(every) if own.isdisjoint(other)], int) for own in every]
+        by_kind = np.argsort(kind, kind="stable")
+        edge = np.searchsorted(kind[by_kind], np.arange(len(every) + 1))
         a, b = [], []
         for i in np.flatnonzero(~guest).tolist():
-            other = guest | (np.arange(len(unit)) > i)
-            ok = other & (comp != comp[i]) & _close(size, size[i], place, place[i], percent)
-            a.append(np.minimum(unit[ok], unit[i]))
-            b.append(np.maximum(unit[ok], unit[i]))
+            far = apart[kind[i]]
+            if not len(far):
+                continue
+            j = np.concatenate([by_kind[edge[k] : edge[k + 1]] for k in far])
+            j = j[(guest[j] | (unit[j] > unit[i])) & (comp[j] != comp[i])]
+            j = j[_close(size[j], size[i], place[j], place[i], percent)]
+            a.append(np.minimum(unit[j], unit[i]))
+            b.append(np.maximum(unit[j], unit[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": a, "b": b})
 
-    found = rows.groupBy("token", "band").applyInArrow(pair, "a long, b long")
-    return found.filter("a <> b").distinct()
+    return rows.groupBy("token", "band").applyInArrow(pair, "a long, b long").filter("a <> b").distinct()
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (with ``doc_id``) with their texts; few ids are broadcast before the texts are dealt."""
+    wanted = ids.select("doc_id").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "doc_id", "left_semi").join(ids, "doc_id")
 
 
 def _verify(docs: DataFrame, units: DataFrame, pairs: DataFrame, n: int, percent: int, n_parts: int) -> DataFrame:
@@ -323,11 +432,7 @@ def _verify(docs: DataFrame, units: DataFrame, pairs: DataFrame, n: int, percent
     dealt = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / FAN)).cast("int"))
     sides = dealt.select(F.explode(F.array(F.struct(F.col("a").alias("unit"), "a", "salt", F.lit(0).alias("side")), F.struct(F.col("b").alias("unit"), "a", "salt", F.lit(1).alias("side")))).alias("s")).select("s.*").distinct()
     ids = cut(units.join(sides, "unit").select(F.col("rep").alias("doc_id"), "unit", "a", "salt", "side"))
-    wanted = ids.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    rows = texts.join(ids, "doc_id").repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
+    rows = _texts_of(docs, ids).repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, now = None, None
@@ -370,9 +475,12 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL
     links = _verify(known, units, counted, n, percent, n_parts)
     lists = found.filter("token is not null")
     if not lists.isEmpty():
+        members = cut(_members(lists))
+        top = members.groupBy("unit", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("many")).alias("o"), "token"))), 1, HOMES).alias("top"))
+        homes = cut(top.select("unit", "size", F.explode("top").alias("t")).select("unit", "size", F.col("t.token").alias("token")))
+        links = cut(links.unionByName(_blocks(known, units, homes, n, percent, n_parts)))
         of = components(links).select(F.col("node").alias("unit"), "component")
-        left = _across(lists, of, percent).join(counted, ["a", "b"], "left_anti")
-        left = cut(left)
+        left = cut(_strangers(members, homes, of, percent).join(counted, ["a", "b"], "left_anti"))
         if not left.isEmpty():
             links = links.unionByName(_verify(known, units, left, n, percent, n_parts))
     return each, units, links
