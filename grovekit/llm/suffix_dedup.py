@@ -35,7 +35,7 @@ LENGTH = 50
 K = 16
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 LAST = (1 << 63) - 1  # where rows without an id stand
-_FLUSH_MARKS, _FLUSH_SUFFIXES = 3_000_000, 400_000
+_FLUSH_MARKS, _FLUSH_SUFFIXES = 1_500_000, 200_000
 _H40 = np.uint64((1 << 40) - 1)
 
 
@@ -94,7 +94,7 @@ def _mark_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             n = len(full)
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([base] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pack(np.ascontiguousarray(raw)), pack(who.astype(np.uint32)), pack(place.astype(np.uint32))], names=names)
 
-        for b in slices(batches, 2 << 20):
+        for b in slices(batches, 1 << 20):
             texts = b.column("text").to_pylist()
             who, place, h = marks(texts, length)
             n = len(texts)
@@ -248,7 +248,7 @@ def _suffix_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, 1 << 20):
             for text, places, rank, uid in zip(*(b.column(c).to_pylist() for c in ("text", "places", "rank", "uid")), strict=True):
                 every = np.frombuffer(places, np.uint32).astype(np.int64)
                 padded = np.concatenate([np.zeros(before, np.uint8), np.frombuffer(text, np.uint8), np.zeros(length, np.uint8)])
@@ -468,7 +468,7 @@ def find_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = cut(_shared_marks(_mark_runs(alone, length, buckets), n_parts))
     names = found.filter("sha is not null").select(F.col("base").alias("uid"), "rank", "sha")
     places = cut(_by_text(found, n_parts).join(names, "uid"))
-    rows = alone.select("text", "sha").join(_small(places, "places"), "sha")
+    rows = alone.select("text", "sha").join(places.hint("merge"), "sha")
     intervals = _merged(_suffix_runs(rows, length, buckets), length, buckets, n_parts)
     spans = cut(_spans(intervals, n_parts).join(places.select("uid", "sha"), "uid").groupBy(F.col("sha").alias("__sha")).agg(F.min("spans").alias("__spans")))
     marked = keyed.join(_small(firsts.filter("__last > __first").select("__sha", "__first"), "__sha"), "__sha", "left").join(_small(spans, "__spans"), "__sha", "left")
