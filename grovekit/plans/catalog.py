@@ -1,14 +1,647 @@
-"""Named queries over the driver's tables and their SQL counterparts."""
+"""Named queries over the driver's tables and their SQL counterparts.
+
+The tables hold no knowledge graph, so texts give entities and relations, the
+geography tables give a tree, and embeddings give vectors with labels as levels.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from grovekit.functions import text as T
+from grovekit.models import HashEmbedder, embed
+from grovekit.operators import chunking, evaluation, extraction, hierarchy, media, merging, retrieval
+from grovekit.shipping import ship
+from grovekit.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.mentions(table(spark, d, "documents"), ascii_safe=True, id_col="doc_id")
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Co-occurrence relations with an ordinal."""
+    rows = extraction.cooccurrences(table(spark, d, "documents"), ascii_safe=True, id_col="doc_id")
+    return rows.withColumn("ord", F.col("source_id") * 1000 + F.col("pos"))
+
+
+def _tree(spark: SparkSession, d: str, leaf: str, key: str, nation: str) -> tuple[DataFrame, DataFrame]:
+    """Leaves and ``name, parent`` of a three-level tree under the root."""
+    leaves = table(spark, d, leaf).select(F.concat(F.lit("x"), F.col(key).cast("string")).alias("anchor"), F.concat(F.lit("n"), F.col(nation).cast("string")).alias("parent"), F.col(key).alias("k"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("name"), F.lit("root").alias("parent"))
+    return leaves, leaves.select(F.col("anchor").alias("name"), "parent").unionByName(n).unionByName(r)
+
+
+def _clusters(names: DataFrame) -> DataFrame:
+    return names.select("entity_name", F.concat(F.lit("c"), (F.length("entity_name") % 7).cast("string")).alias("cluster"))
+
+
+# SQL pieces that several counterparts share.
+CAND = r"""SELECT doc_id, list_slice(list_distinct_in_order, 1, 8) AS names FROM (
+  SELECT doc_id, list_filter(ps, lambda p, i: list_position(ps, p) = i) AS list_distinct_in_order FROM (
+    SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Z][A-Za-z0-9%/-]*(?: [A-Z][A-Za-z0-9%/-]*){0,4}'),
+      lambda p: lower(p) NOT IN ('the', 'this', 'that', 'table', 'figure')) AS ps FROM documents))"""
+MENT = f"cand AS ({CAND}), ment AS (SELECT doc_id, pos - 1 AS pos, names[pos] AS entity_name FROM (SELECT doc_id, names, unnest(range(1, len(names) + 1)) AS pos FROM cand))"
+EDGE = MENT + ", edge AS (SELECT a.doc_id AS source_id, a.pos, a.entity_name AS src, b.entity_name AS dst, a.doc_id * 1000 + a.pos AS ord, a.entity_name || ' and ' || b.entity_name || ' co-occur in the same text chunk.' AS description FROM ment a JOIN ment b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1)"
+WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
+NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9.%/-]+', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+# --- chunking -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, (start // 896)::INT AS chunk_index, start::INT AS start, md5(substring(text, start::INT + 1, 1024)) AS hash_code
+FROM (SELECT doc_id, text, unnest(range(0, length(text), 896)) AS start FROM documents)""")
+def chunk_char_windows(spark, d):
+    return chunking.char_windows(table(spark, d, "documents")).drop("text")
+
+
+@query(f"""SELECT doc_id, (start // 224)::INT AS chunk_index, start::INT AS start, md5(array_to_string(list_slice(w, start + 1, start + 256), ' ')) AS hash_code
+FROM (SELECT doc_id, w, unnest(range(0, len(w), 224)) AS start FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents))""")
+def chunk_word_windows(spark, d):
+    return chunking.word_windows(table(spark, d, "documents")).drop("text")
+
+
+@query(r"""WITH s AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+p AS (SELECT doc_id, 0 AS chunk_index, t AS text FROM s WHERE length(t) <= 2000
+ UNION ALL SELECT doc_id, a // 1800, regexp_replace(substring(t, a::INT + 1, 2000), '^\s+|\s+$', '', 'g') FROM (SELECT doc_id, t, unnest(range(0, length(t), 1800)) AS a FROM s WHERE length(t) > 2000))
+SELECT doc_id, chunk_index::INT AS chunk_index, text FROM p WHERE text <> ''""")
+def chunk_short_circuit(spark, d):
+    return chunking.split_long(table(spark, d, "documents"), 2000, 200)
+
+
+@query("SELECT 'm-' || md5(doc_id::VARCHAR || '|' || lang || '|' || text) AS content_id, doc_id FROM documents")
+def content_ids(spark, d):
+    return table(spark, d, "documents").select(T.content_id("doc_id", "lang", "text", prefix="m-").alias("content_id"), "doc_id")
+
+
+@query("""SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN substring(text, 1, 200) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section_title FROM conversations""")
+def section_carry_forward(spark, d):
+    c = table(spark, d, "conversations")
+    return chunking.carry_sections(c, "conv_id", ["turn"], F.col("role") == "user", F.col("text")).select("conv_id", "turn", "role", "section_title")
+
+
+@query("""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n, printf('%d_chunk_%06d', conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS n_id FROM conversations""")
+def running_ordinals(spark, d):
+    return chunking.number_rows(table(spark, d, "conversations"), "conv_id", ["turn"], "n", "_chunk_").select("conv_id", "turn", "n", "n_id")
+
+
+@query("""SELECT doc_id, lang, n_chars, running::BIGINT AS running FROM (SELECT *, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 20000""")
+def budget_prefix(spark, d):
+    return chunking.budget_prefix(table(spark, d, "documents"), ["lang"], ["doc_id"], F.col("n_chars"), 20_000).select("doc_id", "lang", "n_chars", "running")
+
+
+@query("""SELECT c.conv_id, c.turn FROM conversations c WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY min(conv_id * 100 + turn), conv_id LIMIT 20)""")
+def first_documents(spark, d):
+    c = table(spark, d, "conversations").withColumn("ord", F.col("conv_id") * 100 + F.col("turn"))
+    return chunking.first_documents(c, 20, "conv_id").select("conv_id", "turn")
+
+
+@query("""WITH i AS (SELECT conv_id AS doc_id, list(struct_pack(t := turn, x := text) ORDER BY turn) AS items FROM conversations GROUP BY conv_id)
+SELECT doc_id, (i - 1)::INT AS ord, coalesce(CASE WHEN items[i].t % 2 = 0 THEN items[i].t::INT END, doc_id::INT) AS page, items[i].x AS text FROM (SELECT doc_id, items, unnest(range(1, len(items) + 1)) AS i FROM i)""")
+def nested_items(spark, d):
+    item = F.struct(F.when(F.col("turn") % 2 == 0, F.col("turn").cast("int")).alias("page_idx"), F.col("text").alias("text"))
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    pages = rows.select("doc_id", F.array(F.struct(F.col("doc_id").cast("int").alias("page_no"), "items")).alias("pages"))
+    return chunking.flatten_items(pages).select("doc_id", "ord", "page", F.col("item.text").alias("text"))
+
+
+# --- extraction -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MENT} SELECT doc_id AS source_id, pos::INT AS pos, entity_name FROM ment")
+def entity_candidates(spark, d):
+    return _mentions(spark, d)
+
+
+@query(f"WITH {EDGE} SELECT source_id, pos::INT AS pos, src, dst, description FROM edge")
+def cooccur_edges(spark, d):
+    return _edges(spark, d).drop("ord")
+
+
+@query()
+def heuristic_entities(spark, d):
+    """The faithful pattern and the sentence split have look-around that the SQL engine lacks."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("hash_code"), "text", F.col("doc_id").alias("ord"))
+    return extraction.heuristic_entities(docs).withColumn("source_ids", F.array_join("source_ids", "|"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    answer = F.concat(
+        F.lit('("entity"<|>'), "n_name", F.lit("<|>nation<|>in "), "r_name", F.lit(')##("relationship"<|>'), "n_name", F.lit("<|>"), "r_name", F.lit("<|>lies in<|>"), F.when(F.col("n_nationkey") % 3 == 0, "high").otherwise(F.col("n_nationkey").cast("string")), F.lit(')##("entity"<|>broken)<|COMPLETE|>'))
+    return rows.select(F.col("n_nationkey").alias("source_id"), answer.alias("answer"), "n_name", "r_name")
+
+
+@query("""SELECT n_nationkey AS source_id, 'entity' AS kind, upper(n_name) AS a, 'NATION' AS b, 'in ' || r_name AS description, NULL::DOUBLE AS weight FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT n_nationkey, 'relation', upper(n_name), upper(r_name), 'lies in', CASE WHEN n_nationkey % 3 = 0 THEN 1.0 ELSE n_nationkey END FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def record_parse(spark, d):
+    e, r = extraction.records(_packed(spark, d))
+    left = e.select("source_id", F.lit("entity").alias("kind"), F.col("entity_name").alias("a"), F.col("entity_type").alias("b"), "description", F.lit(None).cast("double").alias("weight"))
+    return left.unionByName(r.select("source_id", F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "description", "weight"))
+
+
+@query("""SELECT n_nationkey AS source_id, n_name AS head, 'part of' AS relation, r_name AS tail FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def pipe_triples(spark, d):
+    rows = _packed(spark, d).select("source_id", F.concat(F.lit("1. <"), "n_name", F.lit("> | part of | <"), "r_name", F.lit(">\n2. "), "n_name", F.lit(" | is | "), "n_name", F.lit("\nno triple here")).alias("answer"))
+    return extraction.pipe_triples(rows)
+
+
+@query("""SELECT DISTINCT side, name FROM (SELECT n_name AS name, 0 AS side FROM nation UNION ALL SELECT r_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey)""")
+def triple_ends(spark, d):
+    t = _packed(spark, d).select(F.col("source_id"), F.col("source_id").alias("ord"), F.col("n_name").alias("head"), F.col("r_name").alias("tail"), *[F.lit("").alias(f"{s}_{k}") for s in ("head", "tail") for k in ("desc", "type")])
+    return extraction.fold_ends(t).select("side", F.col("entity_name").alias("name")).distinct()
+
+
+@query(r"""WITH v AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z]+)', 1) AS word FROM benchmark WHERE regexp_extract(text, '([A-Za-z]+)', 1) <> '')
+SELECT doc_id AS source_id, word FROM documents, v WHERE list_contains(regexp_split_to_array(text, '[^\p{L}\p{M}\p{N}_]+'), word)""")
+def dictionary_match(spark, d):
+    words = table(spark, d, "benchmark").select(F.regexp_extract("text", "([A-Za-z]+)", 1).alias("word"))
+    return extraction.dictionary_match(table(spark, d, "documents"), words, fold=False, max_words=1, id_col="doc_id")
+
+
+@query("""SELECT DISTINCT 'n' || ((n_nationkey * 7 + 3) % 40)::VARCHAR AS entity_name FROM nation WHERE 'n' || ((n_nationkey * 7 + 3) % 40)::VARCHAR NOT IN (SELECT 'n' || n_nationkey::VARCHAR FROM nation)""")
+def frontier_step(spark, d):
+    n = table(spark, d, "nation")
+    return extraction.new_frontier(n.select(F.concat(F.lit("N"), ((F.col("n_nationkey") * 7 + 3) % 40).cast("string")).alias("tail")), n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity_name")))
+
+
+@query("""SELECT DISTINCT lower(l_shipmode) AS head, 'r' AS relation, l_returnflag AS tail FROM (SELECT l_linestatus AS l_shipmode, l_returnflag FROM lineitem) WHERE (lower(l_shipmode), lower(l_returnflag)) NOT IN (('o', 'n'))""")
+def triple_anti_join(spark, d):
+    found = table(spark, d, "lineitem").select(F.lower("l_linestatus").alias("head"), F.lit("r").alias("relation"), F.col("l_returnflag").alias("tail"))
+    known = spark.range(1).select(F.lit("O").alias("head"), F.lit("R").alias("relation"), F.lit("n").alias("tail"))
+    return extraction.new_triples(found, known)
+
+
+# --- merging --------------------------------------------------------------------------------------------------
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentions(spark, d)
+    return m.select("entity_name", F.lit("CONCEPT").alias("entity_type"), F.concat(F.lit("d"), (F.col("source_id") % 5).cast("string")).alias("description"), F.col("source_id").cast("string").alias("source_id"), (F.col("source_id") * 1000 + F.col("pos")).alias("ord"))
+
+
+MERGED = f"""WITH {MENT}, r AS (SELECT entity_name, 'd' || (doc_id % 5)::VARCHAR AS description, doc_id::VARCHAR AS source_id, doc_id * 1000 + pos AS ord FROM ment),
+t AS (SELECT entity_name, string_agg(description, ' | ' ORDER BY o) AS description FROM (SELECT entity_name, description, min(ord) AS o FROM r GROUP BY ALL) GROUP BY ALL),
+i AS (SELECT entity_name, list(source_id ORDER BY o) AS ids FROM (SELECT entity_name, source_id, min(ord) AS o FROM r GROUP BY ALL) GROUP BY ALL),
+n AS (SELECT entity_name, count(*) AS mentions FROM r GROUP BY ALL)"""
+
+
+@query(MERGED + " SELECT entity_name, description, array_to_string(ids, '|') AS source_ids, mentions FROM t JOIN i USING (entity_name) JOIN n USING (entity_name)")
+def entity_merge(spark, d):
+    return merging.merge_entities(_described(spark, d), ["ord"]).select("entity_name", "description", F.array_join("source_ids", "|").alias("source_ids"), "mentions")
+
+
+@query(MERGED + " SELECT entity_name, array_to_string(ids[1:5], '|') AS source_ids FROM i")
+def source_id_cap5(spark, d):
+    return merging.merge_entities(_described(spark, d), ["ord"], id_cap=5).select("entity_name", F.array_join("source_ids", "|").alias("source_ids"))
+
+
+@query(MERGED + " SELECT entity_name, string_agg(description, '|Here is another description : ' ORDER BY ord) AS description FROM r GROUP BY entity_name")
+def entity_concat(spark, d):
+    return merging.concat_entities(_described(spark, d), ["ord"]).select("entity_name", "description")
+
+
+@query(f"WITH {EDGE} SELECT src, dst, min(ord) AS first_ord, arg_max(source_id, ord) AS source_id FROM edge GROUP BY src, dst")
+def relation_upsert(spark, d):
+    return merging.upsert_relations(_edges(spark, d), "ord", ["source_id"])
+
+
+@query(f"WITH {EDGE}, g AS (SELECT DISTINCT src, dst FROM edge WHERE length(src) > 5) SELECT src, dst, CASE WHEN length(src) > 5 THEN 'generated' ELSE 'base' END AS description FROM (SELECT DISTINCT src, dst FROM edge)")
+def relation_override(spark, d):
+    base = _edges(spark, d).select("src", "dst").distinct().withColumn("description", F.lit("base"))
+    return merging.combine_relations(base, base.filter("length(src) > 5").withColumn("description", F.lit("generated")), ["description"])
+
+
+@query(f"""WITH {MENT}, c AS (SELECT entity_name, doc_id, arg_min(pos, pos) AS p FROM ment GROUP BY ALL) SELECT entity_name, arg_max(p, doc_id)::INT AS description FROM c GROUP BY entity_name""")
+def first_mention_last_chunk(spark, d):
+    rows = _mentions(spark, d).select("entity_name", F.col("source_id").alias("chunk_ord"), "pos", F.col("pos").alias("description"))
+    return merging.first_in_chunk_last_over_all(rows)
+
+
+@query(f"WITH {MENT} SELECT entity_name, arg_min(doc_id, doc_id * 1000 + pos) AS source_id FROM ment GROUP BY entity_name")
+def first_by_name(spark, d):
+    rows = _mentions(spark, d).withColumn("o", F.col("source_id") * 1000 + F.col("pos"))
+    return merging.first_by_name(rows, "o").select("entity_name", "source_id")
+
+
+@query(f"WITH {EDGE} SELECT entity_name, count(DISTINCT other) AS degree FROM (SELECT src AS entity_name, dst AS other FROM edge UNION ALL SELECT dst, src FROM edge) GROUP BY entity_name")
+def real_degree(spark, d):
+    return merging.real_degree(_edges(spark, d))
+
+
+# --- tree -----------------------------------------------------------------------------------------------------
+
+
+LIFT = EDGE + ", e AS (SELECT DISTINCT 'c' || (length(src) % 7)::VARCHAR AS ca, 'c' || (length(dst) % 7)::VARCHAR AS cb, src, dst, description FROM edge)"
+
+
+@query(f"WITH {LIFT} SELECT least(ca, cb) AS a, greatest(ca, cb) AS b, count(*) AS n_edges, string_agg(l, chr(10) ORDER BY l) AS description FROM (SELECT DISTINCT ca, cb, 'relationship<|>' || src || '<|>' || dst || '<|>' || description || ' ' AS l FROM e WHERE ca <> cb) GROUP BY 1, 2")
+def relation_lifting(spark, d):
+    e = _edges(spark, d)
+    names = e.select(F.col("src").alias("entity_name")).union(e.select("dst")).distinct()
+    return hierarchy.lift_relations(e.select("src", "dst", "description").distinct(), _clusters(names))
+
+
+@query(f"WITH {LIFT} SELECT src, dst, ca AS cluster FROM e WHERE ca = cb")
+def intra_cluster_edges(spark, d):
+    e = _edges(spark, d).select("src", "dst").distinct()
+    names = e.select(F.col("src").alias("entity_name")).union(e.select("dst")).distinct()
+    return hierarchy.inner_relations(e, _clusters(names)).select("src", "dst", "cluster")
+
+
+@query("""SELECT label AS cluster, count(*) AS n, string_agg('v' || vec_id::VARCHAR, ',' ORDER BY 'v' || vec_id::VARCHAR) AS children, string_agg(DISTINCT (vec_id % 4)::VARCHAR, '|' ORDER BY (vec_id % 4)::VARCHAR) AS source_id FROM embeddings GROUP BY label""")
+def community_members(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("entity_name"), (F.col("vec_id") % 4).cast("string").alias("source_id"))
+    return hierarchy.members(rows).withColumn("children", F.array_join("children", ","))
+
+
+@query(f"WITH {EDGE} SELECT src, dst, 0 AS level FROM edge WHERE length(src) <= 12 AND length(dst) <= 12")
+def store_relations(spark, d):
+    return hierarchy.store_relations(_edges(spark, d), 12).select("src", "dst", "level")
+
+
+@query("""SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey % 5 = 0""")
+def tree_orphans(spark, d):
+    """Suppliers whose parent nation was left out of the next layer."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("x"), F.col("s_suppkey")).alias("entity_name"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"), F.lit(0).alias("level"))
+    n = table(spark, d, "nation").filter("n_nationkey % 5 <> 0").select(F.lit(None).cast("bigint").alias("s_suppkey"), F.lit(None).cast("int").alias("s_nationkey"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("entity_name"), F.lit("root").alias("parent"), F.lit(1).alias("level"))
+    return hierarchy.orphans(s.unionByName(n)).select("s_suppkey", "s_nationkey")
+
+
+@query()
+def hierarchy_build(spark, d):
+    """Clusters are seeded but not SQL; tests check the tree's invariants."""
+    from grovekit.sources.checkpoints import cut
+
+    v = table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("entity_name"), F.lit("VECTOR").alias("entity_type"), F.concat(F.lit("group "), F.col("label").cast("string")).alias("description"), F.col("vec_id").cast("string").alias("source_id"), F.lit(0).alias("degree"), "embedding")
+    ring = v.select(F.col("entity_name").alias("src"), F.concat(F.lit("v"), ((F.col("source_id").cast("long") * 7 + 1) % 500).cast("string")).alias("dst")).withColumn("description", F.lit("next"))
+    own = v.select("entity_name", "embedding")
+    model = HashEmbedder()
+    nodes, _, _ = hierarchy.build_tree(v, ring, lambda df: embed(df.join(own, "entity_name", "left"), model, out_col="said").withColumn("embedding", F.coalesce("embedding", "said")).drop("said"), cut=cut)
+    return nodes.select("entity_name", "level", "parent")
+
+
+# --- retrieval ------------------------------------------------------------------------------------------------
+
+
+def _vector(spark: SparkSession, d: str) -> list[float]:
+    return table(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"]
+
+
+IP = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+@query(f"SELECT e.vec_id, round({IP}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {IP} DESC, e.vec_id LIMIT 10")
+def vector_topk_ip(spark, d):
+    return retrieval.vector_top_k(table(spark, d, "embeddings"), _vector(spark, d), 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT e.vec_id, round({IP}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label > 0 ORDER BY {IP} DESC, e.vec_id LIMIT 10")
+def vector_topk_level(spark, d):
+    rows = retrieval.by_level(table(spark, d, "embeddings").withColumnRenamed("label", "level"), 1)
+    return retrieval.vector_top_k(rows, _vector(spark, d), 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT qid, vec_id, round(s, 6) AS score, rank::INT AS rank FROM (SELECT q.vec_id AS qid, e.vec_id, {IP} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {IP} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
+def vector_topk_batch(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return retrieval.vector_top_k_batch(e, q, 5).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id LIMIT 10")
+def cosine_topk(spark, d):
+    return retrieval.vector_top_k(table(spark, d, "embeddings"), _vector(spark, d), 10, metric="cosine").select("vec_id", "score")
+
+
+@query("""SELECT doc_id, score::INT AS score FROM (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 + (length(lower(text)) - length(replace(lower(text), 'license', ''))) // 7 AS score FROM documents) ORDER BY score DESC, doc_id LIMIT 10""")
+def keyword_topk(spark, d):
+    return retrieval.keyword_top_k(table(spark, d, "documents"), "of the license", 10).select("doc_id", "score")
+
+
+TREE = """l AS (SELECT 'x' || {0}::VARCHAR AS anchor, 'n' || {1}::VARCHAR AS n, {0} AS k FROM {2}), nr AS (SELECT 'n' || n_nationkey::VARCHAR AS n, 'r' || n_regionkey::VARCHAR AS r FROM nation)"""
+
+
+@query("WITH " + TREE.format("c_custkey", "c_nationkey", "customer") + """
+SELECT anchor, 0 AS depth, anchor AS name FROM l UNION ALL SELECT anchor, 1, n FROM l UNION ALL SELECT anchor, 2, r FROM l JOIN nr USING (n) UNION ALL SELECT anchor, 3, 'root' FROM l JOIN nr USING (n)""")
+def ancestor_chain(spark, d):
+    leaves, parents = _tree(spark, d, "customer", "c_custkey", "c_nationkey")
+    return retrieval.ancestors(leaves, parents, 3)
+
+
+@query("WITH " + TREE.format("s_suppkey", "s_nationkey", "supplier") + """, s AS (SELECT * FROM l JOIN nr USING (n) WHERE k <= 40)
+SELECT a.anchor AS a, b.anchor AS b, CASE WHEN a.n = b.n THEN a.anchor || '>' || a.n || '>' || b.anchor WHEN a.r = b.r THEN a.anchor || '>' || a.n || '>' || a.r || '>' || b.n || '>' || b.anchor
+ ELSE a.anchor || '>' || a.n || '>' || a.r || '>root>' || b.r || '>' || b.n || '>' || b.anchor END AS path FROM s a JOIN s b ON a.k < b.k""")
+def lca_path_pairs(spark, d):
+    leaves, parents = _tree(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    anchors = leaves.filter("k <= 40").select(F.lit(0).alias("qid"), F.col("k").alias("pos"), "anchor")
+    return retrieval.anchor_paths(anchors, parents, 3).select("a", "b", F.array_join("path", ">").alias("path"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS s, (n_nationkey * 7 + 3) % 25 AS t FROM nation UNION SELECT n_nationkey, (n_nationkey * 5 + 1) % 25 FROM nation),
+w AS (SELECT n_nationkey AS a, n_nationkey AS cur, [n_nationkey] AS p, 0 AS dep FROM nation UNION ALL SELECT a, t, list_append(p, t), dep + 1 FROM w JOIN e ON cur = s WHERE dep < 4 AND NOT list_contains(p, t)),
+h AS (SELECT a, cur AS b, dep, 'n' || array_to_string(p, '|n') AS path FROM w WHERE dep > 0 AND cur = (a + 1) % 25)
+SELECT 'n' || a::VARCHAR AS a, 'n' || b::VARCHAR AS b, dep::INT AS depth, path FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY dep, path) AS rn FROM h) WHERE rn = 1""")
+def bounded_path(spark, d):
+    n = table(spark, d, "nation")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    k = F.col("n_nationkey")
+    edges = n.select(name(k).alias("src"), name((k * 7 + 3) % 25).alias("dst")).union(n.select(name(k), name((k * 5 + 1) % 25)))
+    return retrieval.bounded_paths(edges, n.select(name(k).alias("a"), name((k + 1) % 25).alias("b")), 4)
+
+
+@query(f"""WITH {EDGE}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edge WHERE src <> dst),
+c AS (SELECT a, b, 0 AS way, ord, source_id FROM p JOIN edge ON src = a AND dst = b UNION ALL SELECT a, b, 1, ord, source_id FROM p JOIN edge ON src = b AND dst = a)
+SELECT a, b, way::INT AS way, source_id::VARCHAR AS description FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY way, ord) AS rn FROM c) WHERE rn = 1""")
+def undirected_link(spark, d):
+    e = _edges(spark, d).withColumn("description", F.col("source_id").cast("string"))
+    pairs = e.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return retrieval.links(pairs, e)
+
+
+VOTE = f"""WITH {MENT}, g AS (SELECT entity_name, count(*) AS m, list(doc_id::VARCHAR ORDER BY doc_id) AS ids FROM ment GROUP BY entity_name),
+t AS (SELECT row_number() OVER (ORDER BY m DESC, entity_name) AS ord, ids FROM g), u AS (SELECT ord, ids[i] AS source_id, i - 1 AS pos FROM (SELECT ord, ids, unnest(range(1, len(ids) + 1)) AS i FROM t WHERE ord <= 20))
+SELECT source_id, count(*) AS votes FROM u GROUP BY source_id ORDER BY votes DESC, min(ord * 1000000 + pos), source_id LIMIT 5"""
+
+
+@query(VOTE)
+def evidence_vote(spark, d):
+    g = _mentions(spark, d).groupBy("entity_name").agg(F.count(F.lit(1)).alias("m"), F.transform(F.array_sort(F.collect_list("source_id")), lambda x: x.cast("string")).alias("source_ids"))
+    top = g.orderBy(F.desc("m"), "entity_name").limit(20).withColumn("ord", F.row_number().over(Window.orderBy(F.desc("m"), "entity_name")))
+    return retrieval.vote_evidence(top, 5)
+
+
+@query("""SELECT r_name, string_agg(n_nationkey::VARCHAR || chr(9) || chr(9) || n_name, chr(10) ORDER BY n_nationkey) AS context FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def context_render(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return retrieval.render_table(rows, ["n_nationkey", "n_name"], ["r_name"], ["n_nationkey"])
+
+
+@query("""SELECT n.n_name AS doc_name, coalesce(max(CASE WHEN r_name = n_name THEN r_name END), min(r_name)) AS file_name FROM nation n JOIN region ON contains(lower(n_name), lower(substring(r_name, 1, 2))) GROUP BY n_name""")
+def fuzzy_match(spark, d):
+    docs = table(spark, d, "nation").select(F.col("n_name").alias("doc_name"))
+    files = table(spark, d, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("file_name"), "r_name")
+    return media.match_files(docs, files.select("file_name")).join(files, "file_name").groupBy("doc_name").agg(F.min("r_name").alias("file_name"))
+
+
+@query()
+def hierarchical_retrieval(spark, d):
+    """Anchors, paths, links, reports and evidence of a batch of questions, over a small tree from the tables."""
+    return flagship(spark, d)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Batch hierarchical retrieval: vectors as base nodes, labels as their aggregates, one root."""
+    e = table(spark, d, "embeddings")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    base = e.select(name("v", "vec_id").alias("entity_name"), name("doc", "vec_id").alias("description"), F.array(name("", "vec_id"), ((F.col("vec_id") + 1) % 500).cast("string")).alias("source_ids"), "embedding", F.lit(0).alias("level"), name("label", "label").alias("parent"))
+    up = e.groupBy("label").agg(F.first("embedding").alias("embedding")).select(name("label", "label").alias("entity_name"), F.lit("aggregate").alias("description"), F.array().cast("array<string>").alias("source_ids"), "embedding", F.lit(1).alias("level"), F.lit("root").alias("parent"))
+    nodes = base.unionByName(up)
+    relations = base.select(F.col("entity_name").alias("src"), F.col("parent").alias("dst"), F.concat("entity_name", F.lit(" belongs to "), "parent").alias("description"), F.lit(0).alias("ord"))
+    reports = up.select("entity_name", F.concat(F.lit("report of "), "entity_name").alias("entity_description"))
+    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("hash_code"), "text")
+    questions = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    out = retrieval.answer_questions(questions, nodes, relations, reports, chunks, k=5, max_level=2)
+    return out.select("qid", "paths", *[F.array_join(c, "|").alias(c) for c in ("anchors", "links", "communities", "evidence")])
+
+
+# --- media ----------------------------------------------------------------------------------------------------
+
+
+def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, d, "documents").filter("doc_id < 200").select(F.lit("all").alias("doc_id"), F.format_string("c%04d", "doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") % 50).cast("int")).alias("page_start"), F.col("doc_id").cast("int").alias("order"), F.substring("text", 1, 300).alias("text"))
+    items = table(spark, d, "pages").filter("page_id < 40").select(F.lit("all").alias("doc_id"), F.format_string("m%04d", "page_id").alias("media_id"), F.when(F.col("page_id") % 7 != 0, F.col("page_id").cast("int")).alias("page"), F.col("page_id").cast("int").alias("media_index"), F.col("url").alias("media_text"), F.when(F.col("page_id") % 2 == 0, "image").otherwise("table").alias("modality"))
+    return chunks, items
+
+
+MEDIA = r"""c AS (SELECT printf('c%04d', doc_id) AS chunk_id, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 50 END AS cp, doc_id AS co, substring(text, 1, 300) AS t FROM documents WHERE doc_id < 200),
+m AS (SELECT printf('m%04d', page_id) AS media_id, CASE WHEN page_id % 7 <> 0 THEN page_id END AS mp, page_id AS mi, url AS mt, page_id % 2 = 0 AS img FROM pages WHERE page_id < 40),
+j AS (SELECT media_id, chunk_id, co, coalesce(1.0 - abs(mp - cp) / 2.0, 0.5) AS p, greatest(0.0, 1.0 - abs(co - least(199, mi)) / 200.0) AS o,
+ least(1.0, (CASE WHEN (img AND (contains(lower(t), 'figure') OR contains(lower(t), 'fig.') OR contains(lower(t), 'image') OR contains(lower(t), 'table'))) OR (NOT img AND (contains(lower(t), 'table') OR contains(lower(t), 'tab.'))) THEN 1.0 ELSE 0.0 END)
+  + len(list_intersect(list_distinct(regexp_extract_all(lower(t), '[A-Za-z0-9_%-]+')), list_distinct(regexp_extract_all(lower(mt), '[A-Za-z0-9_%-]+')))) / 20.0) AS n
+ FROM c JOIN m ON cp IS NULL OR mp IS NULL OR abs(mp - cp) <= 1),
+s AS (SELECT media_id, chunk_id, co, round(0.40 * p + 0.20 * o + 0.10 * n, 6) AS score FROM j),
+l AS (SELECT media_id, chunk_id, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, co, chunk_id) AS rank FROM s)"""
+
+
+@query(f"WITH {MEDIA} SELECT media_id, chunk_id, score, rank::INT AS rank FROM l WHERE rank <= 3 AND score > 0")
+def media_page_link(spark, d):
+    return media.link_media(*_media(spark, d))
+
+
+@query(f"""WITH {MEDIA}, k AS (SELECT * FROM l WHERE rank <= 3 AND score > 0), e AS (SELECT 'e' || (substring(chunk_id, 2)::INT % 20)::VARCHAR AS entity_name, chunk_id AS source_id FROM c),
+h AS (SELECT entity_name, media_id, min(source_id || '#' || printf('%03d', rank)) AS o FROM e JOIN k ON k.chunk_id = e.source_id GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY entity_name ORDER BY o, media_id) AS rn FROM h)
+SELECT entity_name, coalesce(string_agg(CASE WHEN rn <= 5 THEN media_id END, ',' ORDER BY rn), '') AS media_ids FROM (SELECT DISTINCT entity_name FROM e) LEFT JOIN n USING (entity_name) GROUP BY entity_name""")
+def entity_media_top5(spark, d):
+    chunks, items = _media(spark, d)
+    links = media.link_media(chunks, items).select(F.col("chunk_id").alias("source_id"), "media_id", "rank")
+    entities = chunks.groupBy(F.concat(F.lit("e"), (F.col("order") % 20).cast("string")).alias("entity_name")).agg(F.array_sort(F.collect_list("chunk_id")).alias("source_ids"))
+    return media.entity_media(entities, links).withColumn("media_ids", F.array_join("media_ids", ","))
+
+
+# --- scalar functions -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT conv_id, turn, {NORM.format('text')} AS norm FROM conversations")
+def answer_normalize(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.normalize_answer("text").alias("norm"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").withColumn("gold", F.lag("text").over(w)).filter("gold is not null")
+
+
+TURNS = "t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations)"
+F1 = f"""{TURNS}, a AS (SELECT conv_id, turn, {WORDS.format(NORM.format("gold"))} AS g, {WORDS.format(NORM.format("text"))} AS p, {NORM.format("gold")} = {NORM.format("text")} AS same FROM t WHERE gold IS NOT NULL),
+k AS (SELECT *, list_sum(list_transform(list_distinct(g), lambda w: least(len(list_filter(g, lambda x: x = w)), len(list_filter(p, lambda x: x = w))))) AS c FROM a),
+f AS (SELECT conv_id, turn, same, CASE WHEN len(g) = 0 OR len(p) = 0 THEN (len(g) = 0 AND len(p) = 0)::INT::DOUBLE ELSE 2.0 * c / (len(g) + len(p)) END AS f1 FROM k)"""
+
+
+@query(f"WITH {F1} SELECT conv_id, turn, round(f1, 6) AS token_f1 FROM f")
+def token_f1(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", F.round(T.token_f1("gold", "text"), 6).alias("token_f1"))
+
+
+@query(f"WITH {F1} SELECT conv_id, turn, round(greatest(same::INT::DOUBLE, f1), 6) AS answer_score, same::INT::DOUBLE AS exact_match FROM f")
+def answer_scores(spark, d):
+    rows = _turns(spark, d).select("conv_id", "turn", *T.answer_scores("gold", "text", F.lit("Str")))
+    return rows.select("conv_id", "turn", F.round("answer_score", 6).alias("answer_score"), "exact_match")
+
+
+@query(r"""SELECT doc_id, len(n) AS n_numbers, round(coalesce(list_sum(list_transform(n, lambda x: least(replace(replace(x, ',', ''), '%', '')::DOUBLE * CASE WHEN ends_with(x, '%') THEN 0.01 ELSE 1 END, 1000))), 0), 3) AS total
+FROM (SELECT doc_id, regexp_extract_all(text, '-?\d+(?:,\d{3})*(?:\.\d+)?%?') AS n FROM documents)""")
+def number_extraction(spark, d):
+    n = T.numbers("text")
+    return table(spark, d, "documents").select("doc_id", F.size(n).cast("long").alias("n_numbers"), F.round(F.aggregate(n, F.lit(0.0), lambda s, x: s + F.least(x, F.lit(1000.0))), 3).alias("total"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, ((abs(l_quantity - p) <= greatest(1e-3 * greatest(abs(l_quantity), abs(p)), 1e-3)) OR (abs(l_quantity - p * 0.01) <= greatest(1e-3 * greatest(abs(l_quantity), abs(p * 0.01)), 1e-3)))::INT::DOUBLE AS hit
+FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 100 ELSE l_quantity + l_linenumber - 3 END AS p FROM lineitem WHERE l_orderkey < 2000)""")
+def numeric_match(spark, d):
+    rows = table(spark, d, "lineitem").filter("l_orderkey < 2000").withColumn("p", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") * 100).otherwise(F.col("l_quantity") + F.col("l_linenumber") - 3))
+    text = lambda c: F.concat(F.lit("about "), F.col(c).cast("string"))
+    return rows.select("l_orderkey", "l_linenumber", T.numeric_match(text("l_quantity"), text("p")).alias("hit"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\x00-\x1f\x7f-\x9f]', '', 'g')) AS cleaned,
+ md5(regexp_replace(text, '[(（][^)）]*[)）]', '', 'g')) AS bare, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS squeezed, md5(CASE WHEN regexp_full_match(text, '[\x00-\x7F]*') THEN lower(text) ELSE text END) AS folded FROM documents""")
+def text_cleaning(spark, d):
+    h = lambda c: F.md5(c.cast("binary"))
+    return table(spark, d, "documents").select("doc_id", h(T.clean_str("text")).alias("cleaned"), h(T.without_brackets("text")).alias("bare"), h(T.squeeze("text")).alias("squeezed"), h(T.fold_ascii("text")).alias("folded"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(substring(s, 1, 237)) || '…' END AS summary, CASE WHEN length('Caption: ' || s) > 1000 THEN substring('Caption: ' || s, 1, 997) || '...' ELSE 'Caption: ' || s END AS media
+FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents)""")
+def summary_compaction(spark, d):
+    none = F.lit(None).cast("string")
+    return table(spark, d, "documents").select("doc_id", T.summary_240("text").alias("summary"), T.media_summary(F.lit("image"), F.col("text"), none, none, none).alias("media"))
+
+
+@query(r"""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'null' WHEN event_id % 5 = 1 THEN 'bool' WHEN event_id % 5 = 2 THEN 'int' WHEN event_id % 5 = 3 THEN 'float' ELSE 'string' END AS kind, event_id % 5 IN (2, 3) AS is_float FROM events""")
+def value_kinds(spark, d):
+    e = table(spark, d, "events")
+    s = F.when(F.col("event_id") % 5 == 0, "null").when(F.col("event_id") % 5 == 1, "true").when(F.col("event_id") % 5 == 2, F.col("event_id").cast("string")).when(F.col("event_id") % 5 == 3, F.concat(F.col("event_id").cast("string"), F.lit(".5"))).otherwise("x1.5y")
+    return e.select("event_id", T.value_kind(s).alias("kind"), T.is_float(s).alias("is_float"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN (event_id % 10) / 10.0 WHEN event_id % 4 = 1 THEN 0.5 ELSE -1.0 END AS score FROM events""")
+def judged_scores(spark, d):
+    e, k = table(spark, d, "events"), F.col("event_id")
+    s = F.when(k % 4 == 0, F.concat(F.lit('{"score": 0.'), (k % 10).cast("string"), F.lit(', "rationale": "ok"}'))).when(k % 4 == 1, F.lit("I would say 0.5")).when(k % 4 == 2, F.lit("7.5")).otherwise("none")
+    return e.select("event_id", T.judged_score(s).alias("score"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'table' WHEN page_id % 3 = 1 THEN 'image' ELSE 'text' END AS kind, CASE WHEN page_id % 4 <> 0 THEN page_id::INT + 1 END AS page, CASE WHEN page_id % 2 = 0 THEN page_id END AS left_edge FROM pages""")
+def item_fields(spark, d):
+    k = F.col("page_id")
+    kind = F.when(k % 3 == 0, "Table_Body").when(k % 3 == 1, "Figure").otherwise("para")
+    page = F.when(k % 4 != 0, k.cast("string")).otherwise("x")
+    box = F.when(k % 2 == 0, F.array(k.cast("string"), F.lit("1"), F.lit("2"), F.lit("3"), F.lit("4"))).otherwise(F.array(F.lit("1")))
+    return table(spark, d, "pages").select("page_id", T.item_type(kind).alias("kind"), T.page_number(page).alias("page"), F.get(T.bbox(box), F.lit(0)).cast("long").alias("left_edge"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'other' END AS name FROM nation""")
+def column_aliases(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("").alias("title"), F.lit("other").alias("name2"))
+    return n.select("n_nationkey", T.first_value("title", "name2").alias("name"))
+
+
+@query("""SELECT n, (CASE WHEN x - floor(x) = 0.5 AND floor(x) % 2 = 0 THEN floor(x) ELSE round(x) END + 1)::INT AS depth FROM (SELECT o_orderkey AS n, ln(o_orderkey) / ln(20) AS x FROM orders WHERE o_orderkey > 0)""")
+def tree_depths(spark, d):
+    return table(spark, d, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").alias("n"), T.tree_depth("o_orderkey").alias("depth"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------
+
+
+PAGES = """o AS (SELECT l_orderkey, list_distinct(list(l_linenumber)) AS g, list_distinct(list((l_partkey % 7)::INT)) AS p FROM lineitem GROUP BY l_orderkey), b AS (SELECT *, len(list_intersect(g, p)) AS c FROM o)"""
+
+
+@query(f"WITH {PAGES} SELECT l_orderkey, (c > 0)::INT::DOUBLE AS page_hit, round(c / len(p), 6) AS page_precision, round(c / len(g), 6) AS page_recall, round(2.0 * c / (len(g) + len(p)), 6) AS page_f1 FROM b")
+def page_prf(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("g"), F.collect_set((F.col("l_partkey") % 7).cast("int")).alias("p"))
+    out = rows.select("l_orderkey", *evaluation.page_scores(F.col("g"), F.col("p")))
+    return out.select("l_orderkey", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("""SELECT l_orderkey, string_agg(DISTINCT q::VARCHAR, ',' ORDER BY q::VARCHAR) AS pages FROM (SELECT l_orderkey, unnest(CASE WHEN b - a <= 20 THEN list_concat(range(a, b + 1), [p]) ELSE [a, b, p] END) AS q
+FROM (SELECT l_orderkey, (l_partkey % 9 + 1)::BIGINT AS a, (l_partkey % 9 + 1 + l_suppkey % 30)::BIGINT AS b, l_linenumber::BIGINT AS p FROM lineitem WHERE l_orderkey < 500)) GROUP BY l_orderkey""")
+def page_ranges(spark, d):
+    i = lambda c: c.cast("int")
+    item = F.struct(F.col("l_linenumber").alias("page"), i(F.col("l_partkey") % 9 + 1).alias("page_start"), i(F.col("l_partkey") % 9 + 1 + F.col("l_suppkey") % 30).alias("page_end"))
+    rows = table(spark, d, "lineitem").filter("l_orderkey < 500").groupBy("l_orderkey").agg(F.collect_list(item).alias("e"))
+    return rows.select("l_orderkey", F.array_join(F.array_sort(F.transform(evaluation.evidence_pages("e"), lambda x: x.cast("string"))), ",").alias("pages"))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", "lang", F.col("quality").cast("double").alias("answer_score"), F.col("toxic").cast("double").alias("exact_match"), F.when(F.col("doc_id") % 10 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source")).alias("sources"))
+
+
+@query("SELECT lang, count(*) AS count, round(avg(quality), 6) AS answer_score, round(avg(toxic), 6) AS exact_match FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
+def grouped_means(spark, d):
+    out = evaluation.grouped_means(_labelled(spark, d), "lang", ("answer_score", "exact_match"))
+    return out.select("lang", "count", F.round("answer_score", 6).alias("answer_score"), F.round("exact_match", 6).alias("exact_match"))
+
+
+@query("""SELECT sources, count(*) AS count, round(avg(quality), 6) AS answer_score FROM (SELECT quality, unnest(CASE WHEN doc_id % 10 = 0 THEN ['None'] ELSE [lang, source] END) AS sources FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY sources""")
+def multivalue_means(spark, d):
+    out = evaluation.multivalue_means(_labelled(spark, d), "sources", ("answer_score",))
+    return out.select("sources", "count", F.round("answer_score", 6).alias("answer_score"))
+
+
+@query("SELECT round(avg(CASE WHEN quality <> 0 THEN toxic + 1.5 END), 6) AS mean, count_if(quality <> 0)::BIGINT AS valid, count_if(quality = 0)::BIGINT AS invalid FROM labels")
+def valid_mean(spark, d):
+    rows = table(spark, d, "labels").select(F.when(F.col("quality") == 0, -1.0).otherwise(F.col("toxic") + 1.5).alias("score"))
+    return evaluation.valid_mean(rows).withColumn("mean", F.round("mean", 6))
+
+
+@query("""SELECT reason, count(*) AS count FROM (SELECT unnest(CASE WHEN l.doc_id IS NULL THEN ['missing_labels', 'build_error'] ELSE ['labelled'] END) AS reason FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY reason""")
+def status_reasons(spark, d):
+    docs, done = table(spark, d, "documents"), table(spark, d, "labels")
+    have, miss = evaluation.split_work(docs, done)
+    error = F.concat(F.lit("build_error="), F.col("doc_id").cast("string"))
+    rows = have.select(F.array(F.lit("labelled")).alias("reasons")).unionByName(miss.select(F.array(F.lit("missing_labels"), error).alias("reasons")))
+    return evaluation.reason_counts(rows)
+
+
+@query("""SELECT status, count(*) AS count FROM (SELECT CASE WHEN (l.doc_id IS NOT NULL) AND (d.doc_id % 2 = 0) THEN 'built' WHEN l.doc_id IS NULL AND d.doc_id % 2 = 1 THEN 'absent' ELSE 'partial' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY status""")
+def build_status(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    have = table(spark, d, "labels").select("doc_id", F.lit("labels").alias("name")).unionByName(docs.filter("doc_id % 2 = 0").withColumn("name", F.lit("chunks")))
+    return evaluation.build_status(docs, have, ["labels", "chunks"]).groupBy("status").count()
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def pending_builds(spark, d):
+    manifest = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "built").otherwise("failed").alias("graph_status"))
+    return evaluation.pending(table(spark, d, "documents").select("doc_id"), manifest)
+
+
+@query("""SELECT p.conv_id AS doc_id, p.turn AS question_id, g.text AS answer FROM conversations p LEFT JOIN conversations g ON p.conv_id = g.conv_id AND p.turn = g.turn AND g.role = 'user'""")
+def gold_match(spark, d):
+    c = table(spark, d, "conversations")
+    gold = c.filter("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("question_id"), F.concat(F.lit("q"), F.col("turn").cast("string")).alias("question"), F.col("text").alias("answer"))
+    pred = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("question_id"), F.lit("none").alias("question"))
+    return evaluation.match_gold(pred, gold).select("doc_id", "question_id", F.col("gold.answer").alias("answer"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) USING (i)")
+def positional_zip(spark, d):
+    number = lambda t, k: chunking.ordinals(table(spark, d, t).select(k), [k])
+    return evaluation.zip_rows(number("customer", "c_custkey"), number("orders", "o_orderkey")).select("c_custkey", "o_orderkey")
+
+
+@query("""SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def windowed_counts(spark, d):
+    return ingest.windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
