@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,22 @@ K = 16
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 LAST = (1 << 63) - 1  # where rows without an id stand
 _FLUSH_MARKS, _FLUSH_SUFFIXES = 1_500_000, 200_000
-_H40 = np.uint64((1 << 40) - 1)
+_H32 = np.uint64((1 << 32) - 1)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns one after the other, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """Columns of equal length and the given kinds."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += out[-1].nbytes
+    return out
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -73,7 +89,7 @@ def marks(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndar
 def _mark_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """Packed marks by bucket of their hash, and the names of texts (``sha`` set): rows of ``text, rank, sha``."""
     bits = np.uint64(64 - (buckets.bit_length() - 1))
-    names = ["bucket", "base", "rank", "sha", "hashes", "which", "places"]
+    names = ["bucket", "base", "rank", "sha", "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -87,20 +103,18 @@ def _mark_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             who, place, h = who[by], place[by], h[by]
             at = np.searchsorted((h >> bits).astype(np.int64), np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(at))
-            h40 = (h >> (bits - np.uint64(40))) & _H40 if bits >= 40 else h & _H40
-            raw = h40.view(np.uint8).reshape(-1, 8)[:, :5]
-            cuts = [(at[i], at[i + 1]) for i in full]
-            pack = lambda x: pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary())
+            low = ((h >> (bits - np.uint64(32))) & _H32).astype(np.uint32)
+            who, place = who.astype(np.uint32), place.astype(np.uint32)
+            packs = [_packed(low[at[i] : at[i + 1]], who[at[i] : at[i + 1]], place[at[i] : at[i + 1]]) for i in full]
             n = len(full)
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([base] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pack(np.ascontiguousarray(raw)), pack(who.astype(np.uint32)), pack(place.astype(np.uint32))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([base] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(packs, pa.binary())], names=names)
 
         for b in slices(batches, 1 << 20):
             texts = b.column("text").to_pylist()
             who, place, h = marks(texts, length)
             n = len(texts)
             ids = base + count + np.arange(n)
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids % buckets), pa.array(ids), b.column("rank"), b.column("sha"), none, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids % buckets), pa.array(ids), b.column("rank"), b.column("sha"), pa.nulls(n, pa.binary())], names=names)
             held.append((who + count, place, h))
             count += n
             total += len(h)
@@ -111,7 +125,7 @@ def _mark_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         if total:
             yield flush()
 
-    return texts.select("text", "rank", "sha").mapInArrow(run, "bucket long, base long, rank long, sha binary, hashes binary, which binary, places binary")
+    return texts.select("text", "rank", "sha").mapInArrow(run, "bucket long, base long, rank long, sha binary, marks binary")
 
 
 def _shared_marks(runs: DataFrame, n_parts: int) -> DataFrame:
@@ -126,14 +140,12 @@ def _shared_marks(runs: DataFrame, n_parts: int) -> DataFrame:
             if named.num_rows:
                 none = pa.nulls(named.num_rows, pa.binary())
                 yield from pa.table([named["base"], named["rank"], named["sha"], none, none], names=names).to_batches()
-            rest = t.filter(pa.compute.is_valid(t["hashes"]))
-            for bucket, base, x, w, p in zip(*(rest[c].to_pylist() for c in ("bucket", "base", "hashes", "which", "places")), strict=True):
-                w = np.frombuffer(w, np.uint32)
-                wide = np.zeros((len(w), 8), np.uint8)
-                wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-                h.append(wide.view(np.uint64).ravel() | np.uint64(bucket << 40))
+            rest = t.filter(pa.compute.is_valid(t["marks"]))
+            for bucket, base, data in zip(*(rest[c].to_pylist() for c in ("bucket", "base", "marks")), strict=True):
+                low, w, p = _unpacked(data, np.uint32, np.uint32, np.uint32)
+                h.append(low.astype(np.uint64) | np.uint64(bucket << 32))
                 who.append(w + np.int64(base))
-                place.append(np.frombuffer(p, np.uint32))
+                place.append(p)
         if not h:
             return
         h, who, place = np.concatenate(h), np.concatenate(who), np.concatenate(place)
@@ -199,17 +211,17 @@ def _dealt(uid, start, end, n_dest: int) -> Iterator[pa.RecordBatch]:
     cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
     if cuts:
         packed = [np.column_stack([uid[a:z], start[a:z], end[a:z]]).astype(np.int64).tobytes() for a, z in cuts]
-        yield pa.RecordBatch.from_arrays([pa.array(dest[edge[:-1]], pa.int64()), pa.array(packed, pa.binary())] + [pa.nulls(len(cuts), pa.binary())] * 4, names=_RUN)
+        yield pa.RecordBatch.from_arrays([pa.array(dest[edge[:-1]], pa.int64()), pa.array(packed, pa.binary())] + [pa.nulls(len(cuts), pa.binary())] * 2, names=_RUN)
 
 
-_RUN = ["bucket", "intervals", "prefixes", "tails", "ends", "owners"]
+_RUN = ["bucket", "intervals", "suffixes", "owners"]
 
 
 def _suffix_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """Front-coded sorted runs of suffixes at shared marks, and the intervals settled inside the task.
 
-    ``prefixes`` common prefix lengths, ``tails`` the bytes after them, ``ends``
-    reversed bytes before the mark with the lengths of both sides, ``owners``
+    ``suffixes`` holds common prefix lengths, reversed bytes before the mark with
+    the lengths of both sides, and the bytes after the common prefixes; ``owners``
     rank, text and place of each suffix.
     """
     before = length - K
@@ -242,8 +254,9 @@ def _suffix_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
             rows = right[own]
             prefix = _common(rows)
             tails = rows[np.arange(length) >= prefix[:, None]]
-            out.append((i, None, prefix.astype(np.uint8).tobytes(), tails.tobytes(), np.hstack([left[own], sides[own].astype(np.uint8)]).tobytes(), owner[own].tobytes()))
-        kinds = [pa.int64()] + [pa.binary()] * 5
+            body = np.hstack([prefix.astype(np.uint8)[:, None], left[own], sides[own].astype(np.uint8)])
+            out.append((i, None, len(own).to_bytes(4, "little") + _packed(body, tails), _packed(*owner[own].T)))
+        kinds = [pa.int64()] + [pa.binary()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,17 +394,20 @@ def _merged(runs: DataFrame, length: int, buckets: int, n_parts: int) -> DataFra
 
     def merge(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         decoded, left, owner = [], [], []
-        for prefixes, tails, ends, own in group:
-            strings, at, now = [], 0, b""
-            lens = list(prefixes)
+        for suffixes, own in group:
+            n = int.from_bytes(suffixes[:4], "little")
+            raw = zstandard.ZstdDecompressor().decompress(suffixes[4:])
+            body = np.frombuffer(raw, np.uint8, n * (before + 3)).reshape(n, -1)
+            strings, at, now = [], n * (before + 3), b""
+            lens = body[:, 0].tolist()
             for p in lens:
                 z = at + length - p
-                now = now[:p] + tails[at:z]
+                now = now[:p] + raw[at:z]
                 strings.append(now)
                 at = z
             decoded.append((strings, lens))
-            left.append(np.frombuffer(ends, np.uint8).reshape(-1, before + 2))
-            owner.append(np.frombuffer(own, np.int64).reshape(-1, 3))
+            left.append(body[:, 1:])
+            owner.append(np.column_stack(_unpacked(own, np.int64, np.int64, np.int64)))
         order, common = merge_runs(decoded)
         offset = np.cumsum([0] + [len(x) for x in owner])
         o = np.array(order, np.int64)
@@ -404,7 +420,7 @@ def _merged(runs: DataFrame, length: int, buckets: int, n_parts: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
         for b in batches:
-            for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if row[0] is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([row[0]], pa.binary())], names=["bucket", "intervals"])
                     continue
