@@ -42,7 +42,7 @@ DENSE_CELLS = 50_000_000
 HOT_GRAMS = 1 << 20  # at most so many grams are put last
 BROADCAST_IDS = 1_000_000
 FAN = 64  # partners of a text that one verifying group holds
-_FLUSH = 3_000_000  # grams that a task packs at once
+_FLUSH = 1_000_000  # grams that a task packs at once
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -55,7 +55,7 @@ def needed(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for b in slices(batches, 2 << 20):
+    for b in slices(batches, 1 << 20):
         yield b.column(0).to_pylist(), word_ngrams([t.lower() for t in text_bytes(b.column(1))], n)
 
 
@@ -370,7 +370,7 @@ def _blocks(docs: DataFrame, units: DataFrame, homes: DataFrame, n: int, percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, 1 << 20):
             sets = word_ngrams([t.lower() for t in text_bytes(b.column("text"))], n)
             for s, unit, part, guest, *key in zip(sets, *(b.column(c).to_pylist() for c in ("unit", "part", "guest", *keys)), strict=True):
                 if not len(s) or _key(s) != unit:  # another text under the same id
@@ -436,7 +436,7 @@ def _verify(docs: DataFrame, units: DataFrame, pairs: DataFrame, n: int, percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, now = None, None
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, 1 << 20):
             sets = word_ngrams([t.lower() for t in text_bytes(b.column("text"))], n)
             a_out, b_out = [], []
             for s, unit, a, salt, side in zip(sets, *(b.column(c).to_pylist() for c in ("unit", "a", "salt", "side")), strict=True):
