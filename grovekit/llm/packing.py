@@ -16,6 +16,7 @@ window, and a lost task is redone from its own split alone.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ END_ID = 2
 WINDOW = 512  # open pieces from which a sequence is chosen
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TAIL = b"!#$%&()*+,-./:;=?@[]^_|~"  # ASCII signs that never share a token with a letter or digit before them
+#: A comma or full stop at a word's end whose left neighbour isn't an ASCII letter or digit, or a Latin-1 letter.
+_ODD_STOP = re.compile(rb"[.,][ \n](?<![a-z0-9]..)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]..)", re.S)
 _CACHE_WORDS, _CACHE_LEN, _CACHE_KEEP = 1_000_000, 48, 9
 
 
@@ -87,6 +90,16 @@ class WordTokenizer:
             got[c] = (known.get(base) or got.get(base, b"")) + (known.get(tail) or got.get(tail, b""))
         return got
 
+    @staticmethod
+    def _chunks(text: bytes) -> list[bytes]:
+        """Lower-cased parts that are encoded by themselves: at white space, and before stops that end a word."""
+        if b"<|" in text:
+            return text.split()
+        text = text.lower()
+        if not _ODD_STOP.search(text):
+            text = text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
+        return text.split()
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self._known
@@ -94,7 +107,7 @@ class WordTokenizer:
             self._known = known = {c: v for c, v in known.items() if len(c) < _CACHE_KEEP}
             if len(known) > _CACHE_WORDS // 2:
                 known.clear()
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        words = [self._chunks(t) for t in texts]
         new = set().union(*words).difference(known) if words else set()
         extra = self._learn(new)
         known.update((c, v) for c, v in extra.items() if len(c) <= _CACHE_LEN)
