@@ -115,16 +115,26 @@ def numeric_match(gold: Column | str, predicted: Column | str) -> Column:
     return F.exists(g, lambda x: F.exists(p, lambda y: close_number(x, y))).cast("double")
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _numbered(words: Column) -> Column:
+    """Words in order, each with the number of its occurrence, so that a multiset becomes a set."""
+    return let(F.array_sort(words), lambda o: F.transform(o, lambda w, i: F.concat_ws("#", w, (i - F.array_position(o, w)).cast("string"))))
+
+
 def token_f1(gold: Column | str, predicted: Column | str) -> Column:
     """F1 of the multisets of normalised words."""
-    g, p = tokens(normalize_answer(gold)), tokens(normalize_answer(predicted))
-    common = F.aggregate(
-        F.array_distinct(g), F.lit(0),
-        lambda acc, w: acc + F.least(F.size(F.filter(g, lambda x: x == w)), F.size(F.filter(p, lambda x: x == w))),
-    )
-    both = (F.size(g) > 0) & (F.size(p) > 0)
-    f1 = F.lit(2.0) * common / (F.size(g) + F.size(p))
-    return F.when(~both, ((F.size(g) == 0) & (F.size(p) == 0)).cast("double")).otherwise(f1)
+
+    def score(g: Column, p: Column) -> Column:
+        common = F.size(F.array_intersect(_numbered(g), _numbered(p)))
+        both = (F.size(g) > 0) & (F.size(p) > 0)
+        return F.when(~both, ((F.size(g) == 0) & (F.size(p) == 0)).cast("double")).otherwise(F.lit(2.0) * common / (F.size(g) + F.size(p)))
+
+    words = F.struct(tokens(normalize_answer(gold)).alias("g"), tokens(normalize_answer(predicted)).alias("p"))
+    return let(words, lambda x: score(x["g"], x["p"]))
 
 
 def list_f1(gold_items: Column, predicted: Column | str) -> Column:

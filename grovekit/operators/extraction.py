@@ -124,20 +124,23 @@ def dictionary_match(chunks: DataFrame, vocabulary: DataFrame, fold: bool = True
     """``source_id, word`` of the vocabulary's words found in each chunk, each once.
 
     Texts are cut into runs of up to ``max_words`` words, so that the scan is one
-    equi-join whatever the vocabulary's size; longer entries are looked up by a
-    prefix of ``max_words`` words and verified in the text. Only ASCII text is
-    folded, as entries are; a word must not touch a letter or digit.
+    equi-join whatever the vocabulary's size. An entry that is one plain word is
+    found by that alone; entries of several words or with other signs are looked
+    up by a prefix of ``max_words`` words and verified in the text. Only ASCII
+    text is folded, as entries are; a word must not touch a letter or digit.
     """
     low = (lambda c: T.fold_ascii(c)) if fold else (lambda c: F.col(c))
     word_of = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
     words = vocabulary.select(low(word_col).alias("word")).filter("word <> ''").distinct()
-    words = words.withColumn("k", word_of(F.col("word"))).filter(F.size("k") > 0).withColumn("key", F.array_join(F.slice("k", 1, max_words), " ")).select("word", "key")
+    words = words.withColumn("k", word_of(F.col("word"))).filter(F.size("k") > 0).withColumn("key", F.array_join(F.slice("k", 1, max_words), " "))
+    words = words.select("word", "key", ((F.size("k") == 1) & (F.col("word") == F.col("key"))).alias("sure"))
     rows = chunks.select(F.col(id_col).alias("source_id"), low(text_col).alias("t"))
-    w = word_of(F.col("t"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, n), " "))))
-    keys = rows.select("source_id", F.explode(F.array_distinct(grams)).alias("key"))
-    found = keys.join(broadcast_small(words), "key").select("source_id", "word").distinct()
-    return found.join(rows, "source_id").filter(T.word_bounded("t", "word")).select("source_id", "word").distinct()
+    tokens = rows.select("source_id", word_of(F.col("t")).alias("w"))
+    longer = [F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")) for n in range(2, max_words + 1)]
+    keys = tokens.select("source_id", F.explode(F.array_distinct(F.concat("w", *longer))).alias("key"))
+    found = keys.join(broadcast_small(words), "key").select("source_id", "word", "sure").distinct()
+    unsure = found.filter("not sure").join(rows, "source_id").filter(T.word_bounded("t", "word"))
+    return found.filter("sure").select("source_id", "word").unionByName(unsure.select("source_id", "word")).distinct()
 
 
 def new_triples(found: DataFrame, known: DataFrame) -> DataFrame:
