@@ -35,7 +35,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _TAIL = b"!#$%&()*+,-./:;=?@[]^_|~"  # ASCII signs that never share a token with a letter or digit before them
 #: A comma or full stop at a word's end whose left neighbour isn't an ASCII letter or digit, or a Latin-1 letter.
 _ODD_STOP = re.compile(rb"[.,][ \n](?<![a-z0-9]..)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]..)", re.S)
-_CACHE_WORDS, _CACHE_LEN, _CACHE_KEEP = 1_000_000, 48, 9
+_CACHE_WORDS, _CACHE_LEN, _CACHE_KEEP = 400_000, 48, 9
 
 
 class WordTokenizer:
@@ -110,12 +110,11 @@ class WordTokenizer:
         words = [self._chunks(t) for t in texts]
         new = set().union(*words).difference(known) if words else set()
         extra = self._learn(new)
-        known.update((c, v) for c, v in extra.items() if len(c) <= _CACHE_LEN)
-        if any(len(c) > _CACHE_LEN for c in extra):
-            find = lambda c: known.get(c) or extra.get(c, b"")
-        else:
-            find = known.__getitem__
-        return [b"".join(map(find, w)) for w in words]
+        known.update(extra)
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        for c in [c for c in extra if len(c) > _CACHE_LEN]:
+            del known[c]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
