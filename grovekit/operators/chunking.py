@@ -95,3 +95,8 @@ def ordinals(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
     counts = split.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__off")
     return split.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__off") + F.col("__i")).alias(name))
+
+
+def question_contexts(rows: DataFrame) -> DataFrame:
+    """Contexts of the rows that ask something."""
+    return rows.filter(F.col("input").isNotNull()).select("context")

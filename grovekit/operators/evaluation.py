@@ -139,3 +139,14 @@ def recent_documents(rows: DataFrame, k: int = 8) -> DataFrame:
     """Active documents first, then built ones, latest first."""
     rank = F.when(F.col("status") == "active", 0).otherwise(1)
     return rows.orderBy(rank, F.desc("modified"), "doc_id").limit(k)
+
+
+def first_queries(rows: DataFrame, domain: str, order: str = "ord") -> DataFrame:
+    """The queries that are judged: 130 of the mixed domain, 100 of others."""
+    return rows.orderBy(order).limit(130 if domain == "mix" else 100)
+
+
+def stage_counts(rows: DataFrame, *cols: str) -> DataFrame:
+    """Rows by each value of each column, in one table ``what, value, count``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("value")) for c in cols]))
+    return rows.select(pairs.alias("p")).groupBy("p.what", "p.value").count()

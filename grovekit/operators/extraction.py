@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions import text as T
@@ -34,12 +34,19 @@ def heuristic_entities(chunks: DataFrame, order: str = "ord", limit: int = 8, wi
     """Entities without a model: distinct source ids in order, and a description that grows sentence by sentence until it has ``width`` characters."""
     names = T.candidate_entities("text", limit)
     rows = chunks.select("hash_code", F.col(order).alias("ord"), "text", F.posexplode(names).alias("pos", "entity_name"))
-    rows = rows.withColumn("sentence", T.sentence_around("text", "entity_name"))
-    seen = F.array_sort(F.collect_list(F.struct("ord", "pos", "hash_code", "sentence")))
-    # One entity's mentions are bounded before they are gathered: a description needs its first sentences only.
-    grouped = rows.groupBy("entity_name").agg(seen.alias("s"))
+    # A description is full after ``width`` sentences at most, so that no more are gathered for a common name.
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("entity_name").orderBy("ord", "pos"))).filter(F.col("__n") <= width)
+    first = first.select("entity_name", "ord", "pos", T.sentence_around("text", "entity_name").alias("sentence"))
+    told = first.groupBy("entity_name").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "sentence"))).alias("s"))
     description = F.aggregate("s", F.lit(""), lambda acc, x: F.when(F.length(acc) < width, F.trim(F.concat(acc, F.lit(" "), x["sentence"]))).otherwise(acc))
-    return grouped.select("entity_name", F.lit("CONCEPT").alias("entity_type"), description.alias("description"), F.array_distinct(F.transform("s", lambda x: x["hash_code"])).alias("source_ids"), F.lit(0).alias("degree"))
+    ids = rows.groupBy("entity_name", "hash_code").agg(F.min(F.struct("ord", "pos")).alias("o"))
+    ids = ids.groupBy("entity_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "hash_code"))), lambda x: x["hash_code"]).alias("source_ids"))
+    return told.join(ids, "entity_name").select("entity_name", F.lit("CONCEPT").alias("entity_type"), description.alias("description"), "source_ids", F.lit(0).alias("degree"))
+
+
+def keep_sources(rows: DataFrame, mark: str, cap: int = 20_000, order: str = "ord", col: str = "source_id") -> DataFrame:
+    """Of the first ``cap`` rows those whose source id holds the mark."""
+    return rows.orderBy(order).limit(cap).filter(F.contains(F.col(col), F.lit(mark)))
 
 
 def records(answers: DataFrame, text_col: str = "answer", key_col: str = "source_id") -> tuple[DataFrame, DataFrame]:

@@ -271,3 +271,8 @@ def number_nodes(nodes: DataFrame) -> DataFrame:
     counts = rows.groupBy("level", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__off", F.sum("__n").over(Window.orderBy("level", "__b").rowsBetween(Window.unboundedPreceding, -1)))
     return rows.withColumn("__i", F.row_number().over(w) - 1).join(F.broadcast(before.drop("__n")), ["level", "__b"]).withColumn("id", F.coalesce("__off", F.lit(0)) + F.col("__i")).drop("__b", "__i", "__off")
+
+
+def concepts(nodes: DataFrame, communities: DataFrame) -> DataFrame:
+    """Nodes that have a report of their own."""
+    return nodes.join(communities.select("entity_name").distinct(), "entity_name", "left_semi")

@@ -198,6 +198,11 @@ def triple_anti_join(spark, d):
     return extraction.new_triples(found, known)
 
 
+@query("SELECT doc_id FROM (SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 500) WHERE contains(source, 'src1')")
+def capped_sources(spark, d):
+    return extraction.keep_sources(table(spark, d, "documents"), "src1", 500, "doc_id", "source").select("doc_id")
+
+
 # --- merging --------------------------------------------------------------------------------------------------
 
 
@@ -403,6 +408,13 @@ def context_render(spark, d):
     return retrieval.render_table(rows, ["n_nationkey", "n_name"], ["r_name"], ["n_nationkey"])
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'image' END AS modality, CASE WHEN doc_id % 2 = 0 THEN lang ELSE substring(text, 1, 240) END AS summary FROM documents")
+def evidence_fields(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", "text", F.when(k % 3 == 1, "image").otherwise("").alias("modality"), F.when(k % 3 == 2, "image").alias("type"), F.when(k % 2 == 0, F.col("lang")).alias("summary"))
+    return retrieval.normalize_evidence(rows).select("doc_id", "modality", "summary")
+
+
 @query("""SELECT n.n_name AS doc_name, coalesce(max(CASE WHEN r_name = n_name THEN r_name END), min(r_name)) AS file_name FROM nation n JOIN region ON contains(lower(n_name), lower(substring(r_name, 1, 2))) GROUP BY n_name""")
 def fuzzy_match(spark, d):
     docs = table(spark, d, "nation").select(F.col("n_name").alias("doc_name"))
@@ -626,6 +638,11 @@ def pending_builds(spark, d):
     return evaluation.pending(table(spark, d, "documents").select("doc_id"), manifest)
 
 
+@query("SELECT what, value, count(*) AS count FROM (SELECT 'lang' AS what, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY ALL")
+def stage_counts(spark, d):
+    return evaluation.stage_counts(table(spark, d, "documents"), "lang", "source")
+
+
 @query("""SELECT p.conv_id AS doc_id, p.turn AS question_id, g.text AS answer FROM conversations p LEFT JOIN conversations g ON p.conv_id = g.conv_id AND p.turn = g.turn AND g.role = 'user'""")
 def gold_match(spark, d):
     c = table(spark, d, "conversations")
