@@ -143,7 +143,12 @@ def dictionary_match(chunks: DataFrame, vocabulary: DataFrame, fold: bool = True
     words = words.select("word", "key", ((F.size("k") == 1) & (F.col("word") == F.col("key"))).alias("sure"))
     rows = chunks.select(F.col(id_col).alias("source_id"), low(text_col).alias("t"))
     tokens = rows.select("source_id", word_of(F.col("t")).alias("w"))
-    longer = [F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.array_join(F.slice("w", i, n), " ")) for n in range(2, max_words + 1)]
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    longer = [runs(n) for n in range(2, max_words + 1)]
     keys = tokens.select("source_id", F.explode(F.array_distinct(F.concat("w", *longer))).alias("key"))
     found = keys.join(broadcast_small(words), "key").select("source_id", "word", "sure").distinct()
     unsure = found.filter("not sure").join(rows, "source_id").filter(T.word_bounded("t", "word"))
