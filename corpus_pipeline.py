@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.llm import decontamination, jaccard_join, language_id, packing, suffix_dedup
-from grovekit.llm.common import cut, ensure_checkpoint_dir, read_table
-from grovekit.shipping import ship
+from grovekit.llm.common import cut, ensure_checkpoint_dir, prepare, read_table
 
 BROADCAST_IDS = 1_000_000
 
@@ -29,7 +28,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language can be told stay; texts without a letter, and null texts, go."""
-    ship(spark)
+    prepare(spark)
     model = language_id.fit(docs)
     plain = docs.select("doc_id", "text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
     told = language_id.predict(plain, model, "doc_id", "text", *plain.columns[2:]).filter(F.col("lang_pred") != language_id.UNDETERMINED)
@@ -38,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays; null ids stay."""
-    ship(spark)
+    prepare(spark)
     joined = jaccard_join.join_components(docs)
     gone = cut(joined.filter("doc_id <> component_id").select("doc_id").distinct())
     if gone.count() <= BROADCAST_IDS:
@@ -48,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are taken out."""
-    ship(spark)
+    prepare(spark)
     return _counted(suffix_dedup.remove_repeats(docs))
 
 
@@ -59,7 +58,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, in sequences of 4096 tokens."""
-    ship(spark)
+    prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 from grovekit.shipping import ship
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+BATCH_ROWS = 1000  # rows of an Arrow batch, at most: texts are long, and executors small
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the code to executors and keep Arrow batches small; a smaller setting of the session stays."""
     ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
