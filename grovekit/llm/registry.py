@@ -76,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

@@ -555,3 +555,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rows = marked.select(*[F.col("text").cast("binary").alias("text") if f.name == "text" else F.col(f.name) for f in fields], (F.col("__rank") > F.col("__first")).alias("__copy"), "__spans")
     return rows.mapInArrow(run, docs.schema)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i::INT + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE m < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS o FROM g),
+sp AS (SELECT doc_id, o, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, o),
+p AS (SELECT doc_id, o, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY o), 0) AS s, a AS e FROM sp
+  UNION ALL SELECT doc_id, 1000000000, max(z), max(n) FROM sp JOIN d USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * s::INT + 1, 2 * (e - s)::INT), '' ORDER BY o) AS kh FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM sp GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kh, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
