@@ -120,10 +120,10 @@ def _hot_grams(runs: DataFrame, n_parts: int, small: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: int) -> DataFrame:
-    """Packed runs: by bucket, sorted prefix grams with unit, place, and each unit's size and hot grams in its prefix."""
+    """Packed runs: by bucket, sorted prefix grams with unit, place, and each unit's size and group."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     bits = np.uint64(64 - (buckets.bit_length() - 1))
-    names = ["bucket", "grams", "which", "place", "units", "sizes", "hots", "groups"]
+    names = ["bucket", "grams", "which", "place", "units", "sizes", "groups"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
@@ -134,9 +134,9 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: i
 
         def flush() -> pa.RecordBatch:
             unit = np.array([h[0] for h in held], np.int64)
-            size, hots, group = (np.array([h[i] for h in held], t) for i, t in ((1, np.int32), (2, np.int32), (4, np.int64)))
-            lens = [len(h[3]) for h in held]
-            g = np.concatenate([h[3] for h in held])
+            size, group = (np.array([h[i] for h in held], t) for i, t in ((1, np.int32), (3, np.int64)))
+            lens = [len(h[2]) for h in held]
+            g = np.concatenate([h[2] for h in held])
             who = np.repeat(np.arange(len(held)), lens)
             place = np.concatenate([np.arange(k) for k in lens]).astype(np.int32)
             by = np.argsort(g, kind="stable")
@@ -146,8 +146,8 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: i
             for i in np.flatnonzero(np.diff(at)):
                 a, z = at[i], at[i + 1]
                 own, which = np.unique(who[a:z], return_inverse=True)
-                rows.append((int(i), g[a:z].tobytes(), which.astype(np.int32).tobytes(), place[a:z].tobytes(), unit[own].tobytes(), size[own].tobytes(), hots[own].tobytes(), group[own].tobytes()))
-            kinds = [pa.int64()] + [pa.binary()] * 7
+                rows.append((int(i), g[a:z].tobytes(), which.astype(np.int32).tobytes(), place[a:z].tobytes(), unit[own].tobytes(), size[own].tobytes(), group[own].tobytes()))
+            kinds = [pa.int64()] + [pa.binary()] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for _, sets in _sets(batches, n):
@@ -165,10 +165,9 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: i
                     head = cold[:p]
                     if len(head) < p:
                         head = np.concatenate([head, last[np.sort(rank[at[is_hot]])[: p - len(head)]]])
-                    hots = max(0, p - len(cold))
                 else:
-                    head, hots = s[:p], 0
-                held.append((key, len(s), hots, head, xxhash.xxh3_64_intdigest(head.tobytes(), len(s)) - (1 << 63)))
+                    head = s[:p]
+                held.append((key, len(s), head, xxhash.xxh3_64_intdigest(head.tobytes(), len(s)) - (1 << 63)))
                 total += p
             if total > _FLUSH:
                 yield flush()
@@ -193,14 +192,14 @@ _PAIRS = "a long, b long, shared int, lack int, token long, units binary, sizes
 
 
 def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame:
-    """Candidate pairs of units with the shared prefix grams seen and still lacking, and the members of long lists (``token`` set, ``shared`` their number)."""
+    """Candidate pairs of units with the shared prefix grams seen in short lists and those a link needs, and the members of long lists (``token`` set, ``shared`` their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(6)]
         base = 0
-        kinds = (np.uint64, np.int32, np.int32, np.int64, np.int32, np.int32, np.int64)
+        kinds = (np.uint64, np.int32, np.int32, np.int64, np.int32, np.int64)
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(1, 8)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 part = [np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True)]
                 part[1] = part[1] + base
                 base += len(part[3])
@@ -208,7 +207,7 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
                     c.append(x)
         if not base:
             return
-        g, who, place, unit, size, hots, group = (np.concatenate(c) for c in cols)
+        g, who, place, unit, size, group = (np.concatenate(c) for c in cols)
         size = size.astype(np.int64)
         # One entry for each gram and unit: copies met in other tasks fall together.
         by = np.lexsort((unit[who], group[who], g))
@@ -258,7 +257,7 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
             seen = np.diff(np.append(at, len(p)))
             x, y, p, q = x[at], y[at], p[at], q[at]
             rest = np.maximum(size[x] - prefix_length(size[x], percent), size[y] - prefix_length(size[y], percent))
-            lack = needed(size[x], size[y], percent) - rest - np.minimum(hots[x], hots[y])
+            lack = needed(size[x], size[y], percent) - rest
             none = pa.nulls(len(p), pa.binary())
             out.append(pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(seen, pa.int32()), pa.array(lack, pa.int32()), pa.nulls(len(p), pa.int64()), none, none, none], names=names))
 
@@ -471,11 +470,15 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL
     known = texts.filter("doc_id is not null")
     hot = _hot_grams(digest.filter("bucket is not null"), n_parts, small)
     found = cut(_pairs(_prefixes(known, hot, n, percent, buckets), percent, n_parts, small))
-    counted = found.filter("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("lack").alias("lack")).filter("shared >= lack").select("a", "b")
-    links = _verify(known, units, counted, n, percent, n_parts)
     lists = found.filter("token is not null")
+    members = cut(_members(lists))
+    long = members.groupBy("unit").agg(F.count(F.lit(1)).alias("k"))  # prefix grams of a unit that pairs were not counted by
+    side = lambda c: long.select(F.col("unit").alias(c), F.col("k").alias(f"k{c}"))
+    counted = found.filter("token is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("lack").alias("lack"))
+    unseen = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
+    counted = cut(counted.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.col("shared") + unseen >= F.col("lack")).select("a", "b"))
+    links = _verify(known, units, counted, n, percent, n_parts)
     if not lists.isEmpty():
-        members = cut(_members(lists))
         top = members.groupBy("unit", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("many")).alias("o"), "token"))), 1, HOMES).alias("top"))
         homes = cut(top.select("unit", "size", F.explode("top").alias("t")).select("unit", "size", F.col("t.token").alias("token")))
         links = cut(links.unionByName(_blocks(known, units, homes, n, percent, n_parts)))
