@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import slices, text_bytes
+from grovekit.llm.common import slices, text_bytes, trim
 
 # Names of HTML elements, and words in class, id and role that tell what an element is for.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -188,6 +188,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept.schema] + ["text string", "n_chars long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in slices(batches):
             texts = [main_text(p.decode(), tree) for p in text_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import binary_docs, cut, partitions, slices, text_bytes
+from grovekit.llm.common import binary_docs, cut, partitions, slices, text_bytes, trim
 from grovekit.llm.graph import components
 from grovekit.llm.rolling import word_ngrams
 
@@ -68,6 +68,7 @@ def _digest(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     bits = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         names = ["doc_id", "n", "unit", "bucket", "grams"]
         low: list[np.ndarray] = []
         held, seen = 0, set()
@@ -103,6 +104,7 @@ def _hot_grams(runs: DataFrame, n_parts: int, small: int) -> np.ndarray:
     """Grams in over ``small`` sets, the commonest last; over a higher power of two if there would be too many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         parts = [np.frombuffer(x, np.uint64) for b in batches for x in b.column(1).to_pylist()]
         if parts:
             g, c = np.unique(np.concatenate(parts), return_counts=True)
@@ -126,6 +128,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: i
     names = ["bucket", "grams", "which", "place", "units", "sizes", "groups"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         last = shared.value
         order = np.argsort(last)
         sorted_hot, rank = last[order], order
@@ -195,6 +198,7 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
     """Candidate pairs of units with the shared prefix grams seen in short lists and those a link needs, and the members of long lists (``token`` set, ``shared`` their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         cols: list[list] = [[] for _ in range(6)]
         base = 0
         kinds = (np.uint64, np.int32, np.int32, np.int64, np.int32, np.int64)
@@ -279,6 +283,7 @@ def _members(lists: DataFrame) -> DataFrame:
     kinds = (("unit", np.int64), ("size", np.int32), ("place", np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in batches:
             for token, many, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 unit, size, place = (np.frombuffer(x, k) for x, (_, k) in zip(row, kinds, strict=True))
@@ -368,6 +373,7 @@ def _blocks(docs: DataFrame, units: DataFrame, homes: DataFrame, n: int, percent
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(unit[a], unit[b]) if a else [], pa.int64()), pa.array(np.maximum(unit[a], unit[b]) if a else [], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         now, group = None, []
         for b in slices(batches, 1 << 20):
             sets = word_ngrams([t.lower() for t in text_bytes(b.column("text"))], n)
@@ -434,6 +440,7 @@ def _verify(docs: DataFrame, units: DataFrame, pairs: DataFrame, n: int, percent
     rows = _texts_of(docs, ids).repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         mine, now = None, None
         for b in slices(batches, 1 << 20):
             sets = word_ngrams([t.lower() for t in text_bytes(b.column("text"))], n)

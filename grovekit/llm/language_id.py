@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import slices, text_bytes
+from grovekit.llm.common import slices, text_bytes, trim
 
 TRAIN_ROWS = 3000  # at most so many labelled rows are learnt from, balanced over languages
 LANDMARKS = 96
@@ -123,6 +123,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     names = [*kept.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in slices(batches):
             langs, scores = shared.value.predict(text_bytes(b.column(1)))
             letters = b.column(0).to_pylist()

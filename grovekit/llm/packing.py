@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from grovekit.llm.common import binary_docs, slices, text_bytes
+from grovekit.llm.common import binary_docs, slices, text_bytes, trim
 
 CAPACITY = 4096
 END_ID = 2
@@ -232,6 +232,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, c
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encode, task = tokenizer(tokenizer_path), TaskContext.get()
         packer = _Packer(capacity, (task.partitionId() if task else 0) << 40)
 

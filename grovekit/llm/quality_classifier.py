@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import binary_docs, slices, text_bytes
+from grovekit.llm.common import binary_docs, slices, text_bytes, trim
 from grovekit.llm.language_id import balanced_sample
 
 TRAIN_ROWS = 8000  # at most so many labelled rows are learnt from, balanced over both classes
@@ -168,6 +168,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         shapes = Shapes()
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(text_bytes(b.column(1)), shapes), pa.float64())], names=["doc_id", "score"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import cut, slices, text_bytes
+from grovekit.llm.common import cut, slices, text_bytes, trim
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -60,6 +60,7 @@ def measure_documents(docs: DataFrame, text_col: str = "text", *keep: str) -> Da
     names = kept.columns + [x.split()[0] for x in _MEASURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in slices(batches):
             found = [measure(t) for t in text_bytes(b.column(0))]
             yield pa.RecordBatch.from_arrays(b.columns[1:] + [pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import cut, partitions, slices
+from grovekit.llm.common import cut, partitions, slices, trim
 from grovekit.llm.rolling import _BASE, _INVERSE, BYTES, mix, powers
 
 LENGTH = 50
@@ -92,6 +92,7 @@ def _mark_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     names = ["bucket", "base", "rank", "sha", "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 36
         held: list[tuple] = []
@@ -132,6 +133,7 @@ def _shared_marks(runs: DataFrame, n_parts: int) -> DataFrame:
     """Names of texts, passed on, and packed marks (``which, places``) whose piece is in two texts or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         names = ["base", "rank", "sha", "which", "places"]
         h, who, place = [], [], []
         for b in batches:
@@ -170,6 +172,7 @@ def _by_text(found: DataFrame, n_parts: int) -> DataFrame:
     """``uid, places`` of each text with shared marks, places ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         who, place = [], []
         for b in batches:
             for base, w, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -260,6 +263,7 @@ def _suffix_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         parts, held = [], 0
         for b in slices(batches, 1 << 20):
             for text, places, rank, uid in zip(*(b.column(c).to_pylist() for c in ("text", "places", "rank", "uid")), strict=True):
@@ -418,6 +422,7 @@ def _merged(runs: DataFrame, length: int, buckets: int, n_parts: int) -> DataFra
         yield from _dealt(own[:, 1], own[:, 2] - back, own[:, 2] + ahead, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         now, group = None, []
         for b in batches:
             for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -444,6 +449,7 @@ def _spans(intervals: DataFrame, n_parts: int) -> DataFrame:
     """``uid, spans``: maximal covered runs of each text as packed starts and ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         rows = [np.frombuffer(x, np.int64).reshape(-1, 3) for b in batches for x in b.column(1).to_pylist()]
         if not rows:
             return
@@ -518,6 +524,7 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in slices(batches):
             rows = []
             for doc_id, text, sha, copy, spans in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -540,6 +547,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     fields = docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in slices(batches):
             out, keep = [], []
             for text, copy, spans in zip(*(b.column(c).to_pylist() for c in ("text", "__copy", "__spans")), strict=True):
