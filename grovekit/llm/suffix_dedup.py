@@ -36,7 +36,7 @@ LENGTH = 50
 K = 16
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 LAST = (1 << 63) - 1  # where rows without an id stand
-_FLUSH_MARKS, _FLUSH_SUFFIXES = 1_500_000, 200_000
+_FLUSH_MARKS, _FLUSH_SUFFIXES = 500_000, 100_000
 _H32 = np.uint64((1 << 32) - 1)
 
 
@@ -110,7 +110,7 @@ def _mark_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             n = len(full)
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([base] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(packs, pa.binary())], names=names)
 
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, 1 << 19):
             texts = b.column("text").to_pylist()
             who, place, h = marks(texts, length)
             n = len(texts)
@@ -152,9 +152,12 @@ def _shared_marks(runs: DataFrame, n_parts: int) -> DataFrame:
             return
         h, who, place = np.concatenate(h), np.concatenate(who), np.concatenate(place)
         by = np.argsort(h)
-        at = np.flatnonzero(np.concatenate(([True], h[by][1:] != h[by][:-1])))
+        h = h[by]
+        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         del h
-        low, high = np.minimum.reduceat(who[by], at), np.maximum.reduceat(who[by], at)
+        dealt = who[by]
+        low, high = np.minimum.reduceat(dealt, at), np.maximum.reduceat(dealt, at)
+        del dealt
         keep = by[np.repeat(low < high, np.diff(np.append(at, len(by))))]
         who, place = who[keep], place[keep]
         if len(who):
