@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions import text as T
+from grovekit.operators.merging import broadcast_small
 
 
 def link_media(chunks: DataFrame, media: DataFrame, window: int = 1, k: int = 3, similarity: Column | None = None) -> DataFrame:
@@ -50,5 +51,5 @@ def match_files(docs: DataFrame, files: DataFrame) -> DataFrame:
     exact = docs.join(files, F.col("doc_name") == F.col("file_name")).select("doc_name", "file_name")
     rest = docs.join(exact.select("doc_name"), "doc_name", "left_anti").select("doc_name").distinct()
     d, f = F.lower("doc_name"), F.lower("file_name")
-    loose = rest.join(F.broadcast(files), F.contains(d, f) | F.contains(f, d)).groupBy("doc_name").agg(F.min("file_name").alias("file_name"))
+    loose = rest.join(broadcast_small(files), F.contains(d, f) | F.contains(f, d)).groupBy("doc_name").agg(F.min("file_name").alias("file_name"))
     return exact.unionByName(loose)
