@@ -190,10 +190,18 @@ def word_set(c: Column | str) -> Column:
 
 def mention_score(text: Column | str, media_text: Column | str, modality: Column | str) -> Column:
     """1 where the text names the kind of media, plus a twentieth for each shared word, at most 1."""
+    return mention_of(names_kind(text, IMAGE_KEYWORDS), names_kind(text, TABLE_KEYWORDS), word_set(text), word_set(media_text), _col(modality))
+
+
+def names_kind(text: Column | str, words: tuple[str, ...]) -> Column:
     low = F.lower(_col(text))
-    holds = lambda words: F.lit(False) if not words else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
-    named = F.when(_col(modality) == "image", holds(IMAGE_KEYWORDS)).otherwise(holds(TABLE_KEYWORDS)).cast("double")
-    return F.least(F.lit(1.0), named + F.size(F.array_intersect(word_set(text), word_set(media_text))) / 20.0)
+    return F.lit(False) if not words else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+
+
+def mention_of(image: Column, table: Column, words: Column, media_words: Column, modality: Column) -> Column:
+    """``mention_score`` from what is known of each side, so that texts are read once and not once a pair."""
+    named = F.when(modality == "image", image).otherwise(table).cast("double")
+    return F.least(F.lit(1.0), named + F.size(F.array_intersect(words, media_words)) / 20.0)
 
 
 def link_score(page: Column, similarity: Column, order: Column, mention: Column) -> Column:

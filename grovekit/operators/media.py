@@ -16,14 +16,14 @@ def link_media(chunks: DataFrame, media: DataFrame, window: int = 1, k: int = 3,
     without a page meet all of their document by a branch of their own.
     """
     counted = chunks.join(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks")), "doc_id")
-    c = counted.select("doc_id", "chunk_id", F.col("page_start").alias("c_page"), F.col("order").alias("c_order"), F.col("text").alias("c_text"), "n_chunks")
-    m = media.select("doc_id", "media_id", F.col("page").alias("m_page"), "media_index", "media_text", "modality")
+    c = counted.select("doc_id", "chunk_id", F.col("page_start").alias("c_page"), F.col("order").alias("c_order"), "n_chunks", T.names_kind("text", T.IMAGE_KEYWORDS).alias("c_image"), T.names_kind("text", T.TABLE_KEYWORDS).alias("c_table"), T.word_set("text").alias("c_words"))
+    m = media.select("doc_id", "media_id", F.col("page").alias("m_page"), "media_index", T.word_set("media_text").alias("m_words"), "modality")
     near = m.filter("m_page is not null").withColumn("c_page", F.explode(F.sequence(F.col("m_page") - window, F.col("m_page") + window)))
     paged = near.join(c, ["doc_id", "c_page"])
     blank = m.filter("m_page is null").join(c, "doc_id").unionByName(m.filter("m_page is not null").join(c.filter("c_page is null"), "doc_id"))
     rows = paged.select(*blank.columns).unionByName(blank)
     score = T.link_score(
-        T.page_score(F.col("m_page"), F.col("c_page"), window), similarity if similarity is not None else F.lit(0.0), T.order_score(F.col("media_index"), F.col("c_order"), F.col("n_chunks")), T.mention_score("c_text", "media_text", "modality"))
+        T.page_score(F.col("m_page"), F.col("c_page"), window), similarity if similarity is not None else F.lit(0.0), T.order_score(F.col("media_index"), F.col("c_order"), F.col("n_chunks")), T.mention_of(*map(F.col, ("c_image", "c_table", "c_words", "m_words", "modality"))))
     w = Window.partitionBy("media_id").orderBy(F.desc("score"), "c_order", "chunk_id")
     best = rows.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.filter("score > 0").select("media_id", "chunk_id", "score", "rank")

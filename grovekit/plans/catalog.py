@@ -447,8 +447,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chunks = table(spark, d, "documents").filter("doc_id < 200").select(F.lit("all").alias("doc_id"), F.format_string("c%04d", "doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") % 50).cast("int")).alias("page_start"), F.col("doc_id").cast("int").alias("order"), F.substring("text", 1, 300).alias("text"))
-    items = table(spark, d, "pages").filter("page_id < 40").select(F.lit("all").alias("doc_id"), F.format_string("m%04d", "page_id").alias("media_id"), F.when(F.col("page_id") % 7 != 0, F.col("page_id").cast("int")).alias("page"), F.col("page_id").cast("int").alias("media_index"), F.col("url").alias("media_text"), F.when(F.col("page_id") % 2 == 0, "image").otherwise("table").alias("modality"))
+    chunks = table(spark, d, "documents").select(F.lit("all").alias("doc_id"), F.format_string("c%04d", "doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 11 != 0, (F.col("doc_id") % 50).cast("int")).alias("page_start"), F.col("doc_id").cast("int").alias("order"), "text")
+    items = table(spark, d, "pages").select(F.lit("all").alias("doc_id"), F.format_string("m%04d", "page_id").alias("media_id"), F.when(F.col("page_id") % 7 != 0, F.col("page_id").cast("int")).alias("page"), F.col("page_id").cast("int").alias("media_index"), F.col("url").alias("media_text"), F.when(F.col("page_id") % 2 == 0, "image").otherwise("table").alias("modality"))
     return chunks, items
 
 
