@@ -17,6 +17,7 @@ from grovekit.llm import decontamination, jaccard_join, language_id, packing, su
 from grovekit.llm.common import cut, ensure_checkpoint_dir, prepare, read_table
 
 BROADCAST_IDS = 1_000_000
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # near copies of a corpus; op9 has its own
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id stays; null ids stay."""
     prepare(spark)
-    joined = jaccard_join.join_components(docs)
+    joined = jaccard_join.join_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = cut(joined.filter("doc_id <> component_id").select("doc_id").distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)

@@ -43,3 +43,13 @@ def test_stages(spark, sf, tmp_path):
 def test_run_equals_stages(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.select("doc_id").distinct().count() > 100
+
+
+def test_near_copies_of_five_words_go(spark, sf):
+    base = [f"w{i}" for i in range(100)]
+    near, far = list(base), list(base)
+    for out, at in ((near, (30, 60)), (far, (20, 45, 70))):
+        for i in at:
+            out[i] = f"edit{i}"
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "other words altogether in this one")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == [1, 3, 4]
