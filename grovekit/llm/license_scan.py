@@ -4,10 +4,13 @@ A text is cut into sentences, each sentence is normalised and looked up among
 known licence sentences, and the sequence of identifiers is matched against
 ordered rules: a rule that matches names its licence and takes its identifiers
 out of the sequence, so that general rules see only what special ones left.
+Identifiers of other licences between a rule's first and last part stay.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,28 @@ RULES = (
 # Every known sentence holds one of these.
 MARKS = ("licen", "permission", "copyright", "warranty", "redistribut", "public domain", "rights reserved", "mit ", "cc0")
 
+# A BSD-2 text before another BSD text: its identifiers are those of the BSD-3 rule, so it is taken first.
+_WITHIN = r"(,(?!bsd_grant,|bsd_endorse,)\w+)*"
+_APART = ("BSD-2-Clause", rf",bsd_grant{_WITHIN},bsd_source{_WITHIN},bsd_binary{_WITHIN}(?=,bsd_grant(,\w+)*,bsd_source(,\w+)*,bsd_binary,)")
+
+
+def _taking() -> list[tuple[str, str, str]]:
+    """Name, pattern of a whole sequence in three groups (before, match, behind), and pattern of the rule's own identifiers."""
+    out = []
+    for name, pattern in [RULES[0], _APART, *RULES[1:]]:
+        own = re.findall(r",(\w+)", pattern.split("(?=")[0])
+        own = f",({'|'.join(own)})" if own else pattern
+        if r"(,\w+)*" not in pattern:
+            span = rf"{pattern}((,\w+)*{pattern})?"
+        elif name == "GPL-3.0-or-later":
+            span = rf",gpl_redistribute((,\w+)*{own})?"
+        else:
+            span = pattern
+        plain = re.sub(r"\((?!\?)", "(?:", span)
+        out.append((name, rf"^(.*?)({plain})((?:,\w+)*,)$", own + r"(?=,|$)"))
+    return out
+
+
 _BY_SENTENCE = {s: k for k, own in SENTENCES.items() for s in own}
 _LONGEST = max(map(len, _BY_SENTENCE))
 
@@ -94,11 +119,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
     ids = F.filter(F.transform(plain, lambda s: F.when(F.length(s) <= _LONGEST, known[s])), lambda x: x.isNotNull())
     ids = F.when(marked, ids).otherwise(F.array().cast("array<string>"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern + r"(?=,)").alias("pattern")) for name, pattern in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(whole).alias("whole"), F.lit(own).alias("own")) for name, whole, own in _taking()])
     start = F.struct(F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("left"), F.array().cast("array<string>").alias("names"))
+    group = lambda c, r, i: F.call_function("regexp_extract", c, r["whole"], i)
+    left = lambda c, r: F.concat(group(c, r, F.lit(1)), F.regexp_replace(group(c, r, F.lit(2)), r["own"], F.lit("")), group(c, r, F.lit(3)))
     matched = F.aggregate(
         rules, start,
-        lambda acc, r: F.when(F.regexp_like(acc["left"], r["pattern"]), F.struct(F.regexp_replace(acc["left"], r["pattern"], F.lit("")).alias("left"), F.array_append(acc["names"], r["name"]).alias("names"))).otherwise(acc),
+        lambda acc, r: F.when(F.regexp_like(acc["left"], r["whole"]), F.struct(left(acc["left"], r).alias("left"), F.array_append(acc["names"], r["name"]).alias("names"))).otherwise(acc),
     )
     found = docs.select(F.col(id_col).alias("doc_id"), ids.alias("ids"))
     names = F.when(F.size("ids") > 0, F.array_sort(F.array_distinct(matched["names"]))).otherwise(F.array().cast("array<string>"))

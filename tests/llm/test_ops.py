@@ -74,6 +74,26 @@ def test_license_rules(spark, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_licenses_between_the_parts_of_another_stay(spark):
+    mit, bsd2 = ["mit_grant", "mit_notice"], ["bsd_grant", "bsd_source", "bsd_binary"]
+    bsd3, gpl = [*bsd2, "bsd_endorse"], ["gpl_redistribute", "gpl_warranty"]
+    cases = [
+        ([*mit, "mit_warranty", *bsd3, "gpl3_ref", *mit], "BSD-3-Clause,GPL-3.0,MIT"),
+        ([*bsd3, "mpl2_ref", *mit, *bsd3], "BSD-3-Clause,MIT,MPL-2.0"),
+        ([*bsd2, *bsd3], "BSD-2-Clause,BSD-3-Clause"),
+        ([*bsd3, *bsd2], "BSD-2-Clause,BSD-3-Clause"),
+        ([*bsd3, "cc0", *bsd2, "mit_ref", *bsd3], "BSD-2-Clause,BSD-3-Clause,CC0-1.0,MIT"),
+        ([*bsd2, "gpl2_ref", *bsd2], "BSD-2-Clause,GPL-2.0"),
+        (["apache2_ref", "cc_by4", "apache_compliance", "isc_grant", "apache_copy"], "Apache-2.0,CC-BY-4.0,ISC"),
+        ([*gpl[:1], "mpl2_ref", *gpl, *gpl], "GPL-3.0-or-later,MPL-2.0"),
+        (["mit_grant", *mit, "mit_ref", "mit_ref"], "MIT"),
+        (["bsd_grant", "cc0", "cc0", "mit_ref", "cc0"], "CC0-1.0,MIT,UNKNOWN-GRANT"),
+    ]
+    rows = [(i, ".\n\n".join(license_scan.SENTENCES[x][0] for x in ids) + ".") for i, (ids, _) in enumerate(cases)]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (",".join(ids), names) for i, (ids, names) in enumerate(cases)}
+
+
 def test_every_sentence_has_a_mark():
     assert all(any(m in s + " " for m in license_scan.MARKS) for own in license_scan.SENTENCES.values() for s in own)
 
