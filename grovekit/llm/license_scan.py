@@ -71,8 +71,8 @@ RULES = (
     ("UNKNOWN-GRANT", r",(mit_grant|bsd_grant|mit_warranty|gpl_warranty)"),
     ("ALL-RIGHTS-RESERVED", r",rights_reserved"),
 )
-# Every known sentence holds one of these.
-MARKS = ("licen", "permission", "copyright", "warranty", "redistribut", "public domain", "rights reserved", "mit ", "cc0")
+# Every known sentence holds one of these, each within one word, so that no white space or sign of a raw text can break it.
+MARKS = ("licen", "permission", "copyright", "warranty", "redistribut", "reserved", "unencumbered", "cc0")
 
 # A BSD-2 text before another BSD text: its identifiers are those of the BSD-3 rule, so it is taken first.
 _WITHIN = r"(,(?!bsd_grant,|bsd_endorse,)\w+)*"

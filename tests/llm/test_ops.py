@@ -98,6 +98,14 @@ def test_every_sentence_has_a_mark():
     assert all(any(m in s + " " for m in license_scan.MARKS) for own in license_scan.SENTENCES.values() for s in own)
 
 
+def test_wrapped_and_spaced_sentences_are_found(spark):
+    rows = [(1, "All rights\nreserved."), (2, "All rights  reserved"), (3, "# This is free and unencumbered software released into the public\n# domain."), (4, "All\u00a0rights\u00a0reserved!"), (5, "Licensed under\nCC-BY 4.0")]
+    got = {r.doc_id: r.sentence_ids for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "rights_reserved", 2: "rights_reserved", 3: "unlicense", 4: "rights_reserved", 5: "cc_by4"}
+    assert all(m.isalnum() for m in license_scan.MARKS)
+    assert all(any(m in w for m in license_scan.MARKS for w in s.split()) for own in license_scan.SENTENCES.values() for s in own)
+
+
 # 2
 
 
