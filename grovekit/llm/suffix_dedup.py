@@ -210,7 +210,7 @@ def _common(rows: np.ndarray) -> np.ndarray:
 
 def _dealt(uid, start, end, n_dest: int) -> Iterator[pa.RecordBatch]:
     """Intervals packed by the place that gathers their text."""
-    dest = uid // 4096 % n_dest
+    dest = (mix((uid >> 12).astype(np.uint64)) % np.uint64(n_dest)).astype(np.int64)  # blocks of all input partitions over all places
     by = np.argsort(dest, kind="stable")
     uid, start, end, dest = uid[by], start[by], end[by], dest[by]
     edge = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1], [True]))) if len(dest) else np.zeros(1, np.int64)

@@ -272,6 +272,14 @@ def test_marks_hit_every_string():
             assert ((own >= s) & (own + suffix_dedup.K <= s + 50)).any()
 
 
+def test_intervals_spread_over_places():
+    uid = np.concatenate([(np.int64(p) << 36) + np.arange(0, 4096, 64) for p in range(200)])
+    parts = [(b, np.frombuffer(d, np.int64).reshape(-1, 3)) for r in suffix_dedup._dealt(uid, uid * 0, uid * 0 + 50, 64) for b, d in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True)]
+    assert sorted(u for _, d in parts for u in d[:, 0].tolist()) == sorted(uid.tolist())
+    assert len({b for b, _ in parts}) > 50 and max(len(d) for _, d in parts) < len(uid) // 8
+    assert sum(len(set((d[:, 0] >> 12).tolist())) for _, d in parts) == 200
+
+
 # 7
 
 
