@@ -28,9 +28,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can be told stay; texts without a letter, and null texts, go."""
+    """Rows whose language can be told stay; texts without a letter, and null texts, go. Only they go where no row has a language to learn from."""
     prepare(spark)
     model = language_id.fit(docs)
+    if not model.langs:
+        return docs.filter(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     plain = docs.select("doc_id", "text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
     told = language_id.predict(plain, model, "doc_id", "text", *plain.columns[2:]).filter(F.col("lang_pred") != language_id.UNDETERMINED)
     return told.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

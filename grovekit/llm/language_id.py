@@ -94,14 +94,15 @@ def balanced_sample(rows: DataFrame, class_col: str, key: Column, n: int) -> Dat
     A row's place is its hashed key, in [0, 1), times its class's size; rows
     beyond what is needed are left out before the rest is sorted.
     """
-    sizes = {r[0]: r[1] for r in rows.groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(1000).collect()}
-    if not sizes:
+    sizes = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("__size"))
+    classes, least = sizes.agg(F.count(F.lit(1)), F.min("__size")).first()
+    if not classes:
         return rows.limit(0)
-    size = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])[F.col(class_col)]
+    size = F.col("__size")
     order = (F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))) * size
-    each = n / len(sizes)
-    spare = n if min(sizes.values()) < each else each  # small classes leave room to the others
-    return rows.withColumn("__order", order).filter(F.col("__order") < spare + 5 * spare**0.5 + 10).orderBy("__order", key).limit(n)
+    each = n / classes
+    spare = n if least < each else each  # small classes leave room to the others
+    return rows.join(sizes, class_col).withColumn("__order", order).filter(F.col("__order") < spare + 5 * spare**0.5 + 10).orderBy("__order", key).limit(n).select(*rows.columns, "__order")
 
 
 def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> LanguageModel:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from grovekit.llm import registry
+from grovekit.llm import language_id, registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -53,3 +53,13 @@ def test_near_copies_of_five_words_go(spark, sf):
             out[i] = f"edit{i}"
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, "other words altogether in this one")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == [1, 3, 4]
+
+
+def test_texts_stay_where_no_language_is_known(spark, sf):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "ещё", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, sf).collect()) == [1, 4]
+
+
+def test_sample_draws_on_every_class(spark):
+    rows = spark.createDataFrame([(i, f"l{i % 1200}") for i in range(2400)], "doc_id long, lang string")
+    assert language_id.balanced_sample(rows, "lang", rows.doc_id, 2400).select("lang").distinct().count() == 1200
