@@ -5,18 +5,22 @@
 2. Grams in very many sets are found among the lowest hashes and put last in the
    global order (a table of bounded size); a unit's prefix is as long as the
    threshold asks.
-3. Prefix grams are exchanged as packed sorted runs by gram. In a list of one
-   gram, units with the same prefix and size stand as one group; pairs of groups
-   are filtered by size and by the places of the gram, then expanded to members.
-   Shared prefix grams of a pair are counted and bounded against the overlap
-   that a link needs.
-4. Lists over ``SMALL`` units are not paired. Their units meet in the blocks of
-   their ``HOMES`` commonest such grams, where whole sets are compared at once by
-   matrix products and a spanning forest of the links leaves the block; pairs of
-   a long list that share no home, and are not yet in one component, are paired.
-5. Candidates are verified on the sets of their whole texts, and links are
-   joined to components by alternating stars. Every pair that could join two
-   components is compared; a group of near copies costs rows by its size.
+3. Prefix grams are exchanged as packed sorted runs by gram; a gram that one
+   task finds in many units sends them on as members of a long list, and only
+   word of it to the gather of that gram. In a list of one gram, units with the
+   same prefix and size stand as one group; pairs of groups are filtered by size
+   and by the places of the gram, then expanded to members and verified.
+4. In lists of at most ``SMALL`` units the pairs leave as rows. Their shared
+   prefix grams are counted and bounded against the overlap that a link needs.
+5. Longer lists are cut by size bands into parts of bounded size, and every two
+   parts meet in a block. A sieve there collapses units to groups, filters the
+   pairs of groups and names the units with a partner left; only their texts are
+   sent to the block, which compares whole sets by matrix products and returns a
+   spanning forest of the links. This is done for the ``HOMES`` first such grams
+   of each unit, then once more for the pairs that share no home, do not lie in
+   one component yet, and could share their first gram here.
+6. Links are joined to components by alternating stars. Every pair that could
+   join two components is compared; a group of near copies costs rows by its size.
 """
 
 from __future__ import annotations
@@ -35,10 +39,13 @@ from grovekit.llm.rolling import word_ngrams
 
 N = 4
 PERCENT = 85
-SMALL = 16  # units of a list that are paired at once
-HOMES = 3  # commonest grams of long lists whose blocks a unit visits
+SMALL = 16  # units of a list whose pairs leave as rows
+HOMES = 3  # first grams of long lists whose blocks a unit visits before all others
 BLOCK_UNITS, BLOCK_GRAMS = 1500, 1_500_000  # of one side of a block
 DENSE_CELLS = 50_000_000
+SIEVE_CELLS = 1_000_000  # of a matrix of pairs of groups
+LIST_ROWS = 10_000  # units of one packed row of a long list
+LAST = (1 << 63) - 1
 HOT_GRAMS = 1 << 20  # at most so many grams are put last
 BROADCAST_IDS = 1_000_000
 FAN = 64  # partners of a text that one verifying group holds
@@ -121,11 +128,17 @@ def _hot_grams(runs: DataFrame, n_parts: int, small: int) -> np.ndarray:
     return t["gram"].to_numpy(np.int64).view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: int) -> DataFrame:
-    """Packed runs: by bucket, sorted prefix grams with unit, place, and each unit's size and group."""
+def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: int, small: int) -> DataFrame:
+    """Packed runs: by bucket, sorted prefix grams with unit, place, and each unit's size and group.
+
+    A gram in over ``small`` units of one flush is in a long list: its units leave
+    as members of that list (``token`` set) and meet nowhere; ``long`` names such
+    grams to the task that gathers their bucket.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     bits = np.uint64(64 - (buckets.bit_length() - 1))
-    names = ["bucket", "grams", "which", "place", "units", "sizes", "groups"]
+    names = ["bucket", "token", "grams", "which", "place", "units", "sizes", "groups", "long"]
+    kinds = [pa.int64()] * 2 + [pa.binary()] * 7
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
@@ -144,13 +157,23 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: i
             place = np.concatenate([np.arange(k) for k in lens]).astype(np.int32)
             by = np.argsort(g, kind="stable")
             g, who, place = g[by], who[by], place[by]
-            at = np.searchsorted((g >> bits).astype(np.int64), np.arange(buckets + 1))
+            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+            many = np.diff(edge)
             rows = []
-            for i in np.flatnonzero(np.diff(at)):
+            for a, k in zip(edge[:-1][many > small].tolist(), many[many > small].tolist(), strict=True):
+                for low in range(a, a + k, LIST_ROWS):
+                    own, at = who[low : min(low + LIST_ROWS, a + k)], place[low : min(low + LIST_ROWS, a + k)]
+                    spread = int(unit[own[0]]) % buckets
+                    rows.append((spread, int(g[a : a + 1].view(np.int64)[0]), None, None, at.tobytes(), unit[own].tobytes(), size[own].tobytes(), group[own].tobytes(), None))
+            long = g[edge[:-1][many > small]]
+            rest = np.repeat(many <= small, many)
+            g, who, place = g[rest], who[rest], place[rest]
+            at = np.searchsorted((g >> bits).astype(np.int64), np.arange(buckets + 1))
+            told = np.searchsorted((long >> bits).astype(np.int64), np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(at) + np.diff(told)):
                 a, z = at[i], at[i + 1]
                 own, which = np.unique(who[a:z], return_inverse=True)
-                rows.append((int(i), g[a:z].tobytes(), which.astype(np.int32).tobytes(), place[a:z].tobytes(), unit[own].tobytes(), size[own].tobytes(), group[own].tobytes()))
-            kinds = [pa.int64()] + [pa.binary()] * 6
+                rows.append((int(i), None, g[a:z].tobytes(), which.astype(np.int32).tobytes(), place[a:z].tobytes(), unit[own].tobytes(), size[own].tobytes(), group[own].tobytes(), long[told[i] : told[i + 1]].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for _, sets in _sets(batches, n):
@@ -180,30 +203,43 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: i
         if held:
             yield flush()
 
-    kinds = ", ".join(f"{x} binary" for x in names[1:])
-    return docs.mapInArrow(run, f"bucket long, {kinds}")
+    return docs.mapInArrow(run, "bucket long, token long, " + ", ".join(f"{x} binary" for x in names[2:]))
 
 
-def _close(size_a, size_b, place_a, place_b, percent: int) -> np.ndarray:
-    """Whether sizes and the places of a shared prefix gram still allow a link."""
+def _close(size_a, size_b, place_a, place_b, percent: int, first: bool = False) -> np.ndarray:
+    """Whether sizes and the places of a shared prefix gram still allow a link; as the first shared gram, if ``first``."""
     big, small = np.maximum(size_a, size_b), np.minimum(size_a, size_b)
-    most = np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b)
+    most = np.minimum(size_a - place_a, size_b - place_b)
+    if not first:
+        most = most + np.minimum(place_a, place_b)
     return (100 * small >= percent * big) & (np.minimum(most, small) >= needed(size_a, size_b, percent))
 
 
-_PAIRS = "a long, b long, shared int, lack int, token long, units binary, sizes binary, places binary"
+_PAIRS = "a long, b long, shared int, lack int, token long, units binary, sizes binary, places binary, groups binary"
 
 
 def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame:
-    """Candidate pairs of units with the shared prefix grams seen in short lists and those a link needs, and the members of long lists (``token`` set, ``shared`` their number)."""
+    """Candidate pairs of units with the shared prefix grams seen in short lists and those a link needs, and the members of long lists (``token`` set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         cols: list[list] = [[] for _ in range(6)]
+        told = [np.zeros(0, np.uint64)]
         base = 0
         kinds = (np.uint64, np.int32, np.int32, np.int64, np.int32, np.int64)
+        names = ["a", "b", "shared", "lack", "token", "units", "sizes", "places", "groups"]
+
+        def listed(token: pa.Array, *packed: pa.Array) -> pa.RecordBatch:
+            long, few = pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int32())
+            return pa.RecordBatch.from_arrays([long, long, few, few, token, *packed], names=names)
+
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
+            at_once = pa.compute.is_valid(b.column("token"))
+            ready, b = b.filter(at_once), b.filter(pa.compute.invert(at_once))
+            if ready.num_rows:
+                yield listed(*(ready.column(c) for c in ("token", "units", "sizes", "place", "groups")))
+            told += [np.frombuffer(x, np.uint64) for x in b.column("long").to_pylist()]
+            for row in zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True):
                 part = [np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True)]
                 part[1] = part[1] + base
                 base += len(part[3])
@@ -227,7 +263,7 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
         members = np.diff(np.append(first, len(g)))
         groups = np.add.reduceat(head, edge[:-1])  # of each list
         at_group = np.cumsum(head)[edge[:-1]] - 1
-        few = length <= small
+        few = (length <= small) & ~np.isin(g[edge[:-1]], np.concatenate(told))
         left, right = [], []
         for k in np.unique(groups[few & (length > 1)]).tolist():
             lists = at_group[few & (length > 1) & (groups == k)][:, None] + np.arange(k)
@@ -247,7 +283,6 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
                 left.append(rows[:, i].ravel())
                 right.append(rows[:, j].ravel())
         out: list[pa.RecordBatch] = []
-        names = ["a", "b", "shared", "lack", "token", "units", "sizes", "places"]
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
             x, y = who[x], who[y]
@@ -263,39 +298,106 @@ def _pairs(runs: DataFrame, percent: int, n_parts: int, small: int) -> DataFrame
             rest = np.maximum(size[x] - prefix_length(size[x], percent), size[y] - prefix_length(size[y], percent))
             lack = needed(size[x], size[y], percent) - rest
             none = pa.nulls(len(p), pa.binary())
-            out.append(pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(seen, pa.int32()), pa.array(lack, pa.int32()), pa.nulls(len(p), pa.int64()), none, none, none], names=names))
+            out.append(pa.RecordBatch.from_arrays([pa.array(p), pa.array(q), pa.array(seen, pa.int32()), pa.array(lack, pa.int32()), pa.nulls(len(p), pa.int64()), *[none] * 4], names=names))
 
         if left:
             keep(np.concatenate(left), np.concatenate(right))
         for a, k in zip(edge[:-1][~few].tolist(), length[~few].tolist(), strict=True):
-            for at in range(a, a + k, 10_000):
-                part = np.arange(at, min(at + 10_000, a + k))
+            for at in range(a, a + k, LIST_ROWS):
+                part = np.arange(at, min(at + LIST_ROWS, a + k))
                 one = lambda x: pa.array([x.tobytes()], pa.binary())
-                token = pa.array(g[a : a + 1].view(np.int64))
-                out.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [pa.array([k], pa.int32()), pa.nulls(1, pa.int32()), token, one(unit[who[part]]), one(size[who[part]].astype(np.int32)), one(place[part].astype(np.int32))], names=names))
+                out.append(listed(pa.array(g[a : a + 1].view(np.int64)), one(unit[who[part]]), one(size[who[part]].astype(np.int32)), one(place[part].astype(np.int32)), one(group[who[part]])))
         yield from out
 
     return runs.repartition(n_parts, "bucket").mapInArrow(run, _PAIRS)
 
 
 def _members(lists: DataFrame) -> DataFrame:
-    """``token, many, unit, size, place`` of the units in long lists."""
-    kinds = (("unit", np.int64), ("size", np.int32), ("place", np.int32))
+    """``token, unit, size, place, set_group`` of the units in long lists."""
+    kinds = (("unit", np.int64), ("size", np.int32), ("place", np.int32), ("set_group", np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
         for b in batches:
-            for token, many, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                unit, size, place = (np.frombuffer(x, k) for x, (_, k) in zip(row, kinds, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), token)), pa.array(np.full(len(unit), many, np.int32)), pa.array(unit), pa.array(size), pa.array(place)], names=["token", "many", "unit", "size", "place"])
+            for token, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                cols = [np.frombuffer(x, k) for x, (_, k) in zip(row, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), token)), *map(pa.array, cols)], names=["token", *(c for c, _ in kinds)])
+
+    rows = lists.select("token", "units", "sizes", "places", "groups").mapInArrow(run, "token long, unit long, size int, place int, set_group long")
+    return rows.dropDuplicates(["token", "unit"])  # a unit that several tasks have met
 
-    return lists.select("token", F.col("shared").alias("many"), "units", "sizes", "places").mapInArrow(run, "token long, many int, unit long, size int, place int")
 
+def _dealt(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows ``token, unit, size`` at every block they meet in: ``band, guest, part, i, j``.
 
-def _visits(rows: DataFrame, percent: int) -> DataFrame:
-    """Each row in its own band and, as a guest, in the next one."""
+    A token's units are cut by bands of size, and visit the next band as guests;
+    bands are dealt to parts of bounded units and grams, and every two parts meet once.
+    """
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    return rows.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("guest").cast("int"))
+    rows = rows.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("guest").cast("int"))
+    sizes = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"))
+    deals = F.ceil(F.greatest(F.col("m") / BLOCK_UNITS, F.col("grams") / BLOCK_GRAMS)).cast("int")
+    wide = cut(sizes.select("token", "band", deals.alias("deals")).filter("deals > 1"))  # only these are cut, and they are few
+    if wide.count() <= BROADCAST_IDS:
+        wide = F.broadcast(wide)
+    rows = rows.join(wide, ["token", "band"], "left").withColumn("deals", F.coalesce("deals", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("unit"), F.col("deals")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    return rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("deals", "other")
+
+
+def _sieve(rows: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Those of the dealt rows that have a partner in their block.
+
+    Units of one prefix and size are one group; pairs of groups are filtered by
+    sizes and places, and by having no home in common (``homes``). A unit stays if
+    a group that passes holds a unit of another component (``component``).
+    """
+    kept = ["token", "band", "i", "j", "unit", "guest", "part"]
+
+    def sieve(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[2].as_py(), key[3].as_py()
+        part, guest, group, comp = (table[c].to_numpy() for c in ("part", "guest", "set_group", "component"))
+        size, place = (table[c].to_numpy().astype(np.int64) for c in ("size", "place"))
+        homes = table["homes"].combine_chunks()
+        offsets, home = homes.offsets.to_numpy(), homes.values.to_numpy(zero_copy_only=False)
+        stays = np.zeros(len(part), bool)
+        sides = []
+        for p in (i, j) if i != j else (i,):
+            own = np.flatnonzero(part == p)
+            _, one, which = np.unique(group[own], return_index=True, return_inverse=True)
+            lo, hi = np.full(len(one), LAST), np.full(len(one), -LAST)
+            np.minimum.at(lo, which, comp[own])
+            np.maximum.at(hi, which, comp[own])
+            at = own[one]
+            visits = np.full((len(at), HOMES), 0)
+            for row, x in enumerate(at.tolist()):
+                mine = home[offsets[x] : offsets[x + 1]]
+                visits[row, : len(mine)] = mine
+            sides.append((own, which, at, lo, hi, visits))
+        for a, b in ((0, -1), (-1, 0)) if i != j else ((0, 0),):
+            own, which, at, lo, hi, visits = sides[a]
+            _, _, to, lo_b, hi_b, visits_b = sides[b]
+            step = max(1, SIEVE_CELLS // max(1, len(to)))
+            by = np.argsort(which, kind="stable")
+            edge = np.searchsorted(which[by], np.arange(len(at) + 1))
+            for low in range(0, len(at), step):
+                high = min(low + step, len(at))
+                x = at[low:high]
+                ok = _close(size[x][:, None], size[to][None], place[x][:, None], place[to][None], percent, first)
+                ok &= ~(guest[x][:, None] & guest[to][None])
+                for h in range(HOMES):
+                    mine = visits[low:high, h][:, None]
+                    for other in range(HOMES):
+                        ok &= (mine != visits_b[:, other][None]) | (mine == 0)
+                # The components that a group's partners span.
+                least = np.where(ok, lo_b[None], LAST).min(1)
+                most = np.where(ok, hi_b[None], -LAST).max(1)
+                rows = by[edge[low] : edge[high]]
+                mine = comp[own[rows]]
+                stays[own[rows]] |= ok.any(1)[which[rows] - low] & ((least[which[rows] - low] != mine) | (most[which[rows] - low] != mine))
+        return table.filter(pa.array(stays)).select(kept)
+
+    return rows.groupBy("token", "band", "i", "j").applyInArrow(sieve, "token long, band int, i int, j int, unit long, guest boolean, part int")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -340,20 +442,9 @@ def _forest(adjacent: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _blocks(docs: DataFrame, units: DataFrame, homes: DataFrame, n: int, percent: int, n_parts: int) -> DataFrame:
-    """A spanning forest of links ``a, b`` of each block of units ``unit, size, token``.
-
-    A token's units are cut by bands of size and dealt to parts of bounded grams;
-    every two parts of a band meet once, and a unit visits the next band as guest.
-    """
-    rows = _visits(homes, percent)
-    sizes = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"), F.count_if(~F.col("guest")).alias("own"))
-    deals = F.ceil(F.greatest(F.col("m") / BLOCK_UNITS, F.col("grams") / BLOCK_GRAMS)).cast("int")
-    sizes = sizes.filter("own > 0 and m > 1").select("token", "band", deals.alias("deals"))
-    rows = rows.join(sizes, ["token", "band"]).withColumn("part", F.pmod(F.xxhash64("unit"), F.col("deals")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("deals") - 1))
-    rows = rows.withColumn("other", other).select("unit", "token", "band", "guest", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    ids = cut(units.join(rows, "unit").select(F.col("rep").alias("doc_id"), "unit", "token", "band", "guest", "part", "i", "j"))
+def _blocks(docs: DataFrame, units: DataFrame, visits: DataFrame, n: int, percent: int, n_parts: int) -> DataFrame:
+    """A spanning forest of links ``a, b`` of each block of the sieved rows."""
+    ids = cut(units.join(visits, "unit").select(F.col("rep").alias("doc_id"), "unit", "token", "band", "guest", "part", "i", "j"))
     keys = ["token", "band", "i", "j"]
     dealt = _texts_of(docs, ids).repartition(n_parts, *keys).sortWithinPartitions(*keys, "unit")
 
@@ -391,38 +482,6 @@ def _blocks(docs: DataFrame, units: DataFrame, homes: DataFrame, n: int, percent
     return dealt.select("text", "unit", "part", "guest", *keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def _strangers(members: DataFrame, homes: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that share no home and lie in different components."""
-    rows = members.join(homes.groupBy("unit").agg(F.array_sort(F.collect_set("token")).alias("homes")), "unit").join(of, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    rows = _visits(rows, percent)
-    mixed = rows.groupBy("token", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_distinct("homes").alias("kinds")).filter("lo <> hi and kinds > 1").select("token", "band")
-    rows = rows.join(mixed, ["token", "band"])
-
-    def pair(key, table):
-        unit, comp, guest = table["unit"].to_numpy(), table["component"].to_numpy(), table["guest"].to_numpy(zero_copy_only=False)
-        size, place = table["size"].to_numpy().astype(np.int64), table["place"].to_numpy().astype(np.int64)
-        kinds: dict[tuple, int] = {}
-        kind = np.array([kinds.setdefault(tuple(h), len(kinds)) for h in table["homes"].to_pylist()])
-        every = [set(k) for k in kinds]
-        apart = [np.array([k for k, other in enumerate(every) if own.isdisjoint(other)], int) for own in every]
-        by_kind = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[by_kind], np.arange(len(every) + 1))
-        a, b = [], []
-        for i in np.flatnonzero(~guest).tolist():
-            far = apart[kind[i]]
-            if not len(far):
-                continue
-            j = np.concatenate([by_kind[edge[k] : edge[k + 1]] for k in far])
-            j = j[(guest[j] | (unit[j] > unit[i])) & (comp[j] != comp[i])]
-            j = j[_close(size[j], size[i], place[j], place[i], percent)]
-            a.append(np.minimum(unit[j], unit[i]))
-            b.append(np.maximum(unit[j], unit[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": a, "b": b})
-
-    return rows.groupBy("token", "band").applyInArrow(pair, "a long, b long").filter("a <> b").distinct()
-
-
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` (with ``doc_id``) with their texts; few ids are broadcast before the texts are dealt."""
     wanted = ids.select("doc_id").distinct()
@@ -476,7 +535,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL
     units = cut(each.filter("unit is not null and doc_id is not null").groupBy("unit").agg(F.min("doc_id").alias("rep")))
     known = texts.filter("doc_id is not null")
     hot = _hot_grams(digest.filter("bucket is not null"), n_parts, small)
-    found = cut(_pairs(_prefixes(known, hot, n, percent, buckets), percent, n_parts, small))
+    found = cut(_pairs(_prefixes(known, hot, n, percent, buckets, small), percent, n_parts, small))
     lists = found.filter("token is not null")
     members = cut(_members(lists))
     long = members.groupBy("unit").agg(F.count(F.lit(1)).alias("k"))  # prefix grams of a unit that pairs were not counted by
@@ -485,14 +544,18 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL
     unseen = F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0)))
     counted = cut(counted.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.col("shared") + unseen >= F.col("lack")).select("a", "b"))
     links = _verify(known, units, counted, n, percent, n_parts)
-    if not lists.isEmpty():
-        top = members.groupBy("unit", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("many")).alias("o"), "token"))), 1, HOMES).alias("top"))
-        homes = cut(top.select("unit", "size", F.explode("top").alias("t")).select("unit", "size", F.col("t.token").alias("token")))
-        links = cut(links.unionByName(_blocks(known, units, homes, n, percent, n_parts)))
+    if not members.isEmpty():
+        first = F.slice(F.array_sort(F.collect_list(F.struct("place", "token"))), 1, HOMES)
+        homes = cut(members.groupBy("unit", "size", "set_group").agg(first.alias("first")))
+        visits = homes.select("unit", "size", "set_group", F.explode("first").alias("t")).select("unit", "size", "set_group", "t.place", "t.token")
+        none = F.array().cast("array<long>")
+        sieved = _sieve(_dealt(visits.withColumns({"component": F.col("unit"), "homes": none}), percent), percent, first=False)
+        links = cut(links.unionByName(_blocks(known, units, sieved, n, percent, n_parts)))
         of = components(links).select(F.col("node").alias("unit"), "component")
-        left = cut(_strangers(members, homes, of, percent).join(counted, ["a", "b"], "left_anti"))
-        if not left.isEmpty():
-            links = links.unionByName(_verify(known, units, left, n, percent, n_parts))
+        told = homes.select("unit", F.col("first.token").alias("homes")).join(of, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+        sieved = cut(_sieve(_dealt(members.join(told, "unit"), percent), percent, first=True))
+        if not sieved.isEmpty():
+            links = links.unionByName(_blocks(known, units, sieved, n, percent, n_parts))
     return each, units, links
 
 
