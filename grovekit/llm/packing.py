@@ -15,6 +15,7 @@ window, and a lost task is redone from its own split alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,6 +36,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _TAIL = b"!#$%&()*+,-./:;=?@[]^_|~"  # ASCII signs that never share a token with a letter or digit before them
 #: A comma or full stop at a word's end whose left neighbour isn't an ASCII letter or digit, or a Latin-1 letter.
 _ODD_STOP = re.compile(rb"[.,][ \n](?<![a-z0-9]..)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]..)", re.S)
+#: First UTF-8 bytes of U+0300 to U+037F: a mark may join a small letter before it, and not the capital.
+_MARKS = re.compile(rb"[\xcc\xcd]")
+# The normalisation and word pattern for which words may be encoded one by one.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CACHE_WORDS, _CACHE_LEN, _CACHE_KEEP = 400_000, 48, 9
 
 
@@ -42,16 +48,24 @@ class WordTokenizer:
     """Token ids of whole texts, by way of a bounded cache of white-space-free chunks.
 
     No token of a word-level BPE spans white space, so a text's ids are the
-    concatenated ids of its chunks, and each chunk is encoded once.
+    concatenated ids of its chunks, and each chunk is encoded once. Signs at the
+    end of a chunk are parted from it where the tokenizer itself parts them from
+    the last character. A tokenizer with another normalisation or word pattern
+    than the known one encodes whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
+        self._model = model = Tokenizer.from_file(path)
         self._encode = model.encode_batch_fast
         self._known: dict[bytes, bytes] = {}
+        self._ending: dict[str, bool] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self.by_words = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS and split == _WORDS and spec["model"].get("end_of_word_suffix") == "</w>"
         vocabulary = model.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self._ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -72,13 +86,21 @@ class WordTokenizer:
             for e in self._encode(part, add_special_tokens=False):
                 yield np.asarray(e.ids, dtype="<u4").tobytes()
 
+    def _parts(self, last: str) -> bool:
+        """Whether signs after this character, letter or digit as it may seem, are words of their own."""
+        found = self._ending.get(last)
+        if found is None:
+            words = self._model.pre_tokenizer.pre_tokenize_str(self._model.normalizer.normalize_str(last + "!"))
+            found = self._ending[last] = last.isalnum() and words[-1][0] == "!"
+        return found
+
     def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that aren't cached."""
         known, split, plain = self._known, {}, set()
         for c in new:
             base = c.rstrip(_TAIL)
             tail = c[len(base) :]
-            if base and tail and b"<|" not in c and base.decode()[-1].isalnum():
+            if base and tail and b"<|" not in c and self._parts(base.decode()[-1]):
                 split[c] = (base, tail)
                 plain |= {x for x in (base, tail) if x not in known}
             else:
@@ -93,7 +115,7 @@ class WordTokenizer:
     @staticmethod
     def _chunks(text: bytes) -> list[bytes]:
         """Lower-cased parts that are encoded by themselves: at white space, and before stops that end a word."""
-        if b"<|" in text:
+        if b"<|" in text or _MARKS.search(text):
             return text.split()
         text = text.lower()
         if not _ODD_STOP.search(text):
@@ -102,6 +124,8 @@ class WordTokenizer:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_words:
+            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self._encode([t.decode() for t in texts], add_special_tokens=False)]
         known = self._known
         if len(known) > _CACHE_WORDS:  # short words are the common ones
             self._known = known = {c: v for c, v in known.items() if len(c) < _CACHE_KEEP}
