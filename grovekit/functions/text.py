@@ -25,6 +25,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def nan_to_null(c: Column | str) -> Column:
+    """A double, null where it is no number."""
+    return F.when(~F.isnan(_col(c)), _col(c))
+
+
+def almost_equal(a: Column | str, b: Column | str, tolerance: float = 1e-6) -> Column:
+    """Whether two maps to doubles have the same keys and values within the tolerance."""
+    a, b = _col(a), _col(b)
+    near = F.forall(F.map_keys(a), lambda k: F.abs(F.try_element_at(a, k) - F.try_element_at(b, k)) <= tolerance)
+    return (F.size(a) == F.size(b)) & F.coalesce(near, F.lit(False))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, as ``str.strip`` does."""
     return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
+import threading
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -142,6 +145,60 @@ def generate(df: DataFrame, model: TextModel, prompt_col: str, out_col: str = "a
     return df.withColumn(out_col, answers(prompt_col))
 
 
+def ask(model: TextModel, prompt: Column) -> Column:
+    """The model's answer to each prompt, in Arrow batches; null where the prompt is null or the model is silent or fails."""
+    safe = Retrying(model, attempts=1)
+
+    @F.pandas_udf("string")
+    def answers(prompts: pd.Series) -> pd.Series:
+        return prompts.map(lambda p: (safe(p) or None) if p is not None else None)
+
+    return answers(prompt)
+
+
+def verify_entities(names: DataFrame, model: TextModel, batch: int = 100) -> DataFrame:
+    """``entity_name``: the distinct lines of the model's answers to lists of at most about ``batch`` names each."""
+    n = -(-names.count() // batch)
+    lists = names.select("entity_name").distinct().groupBy(F.pmod(F.xxhash64("entity_name"), F.lit(max(n, 1))).alias("i")).agg(F.array_join(F.array_sort(F.collect_list("entity_name")), "\n").alias("names"))
+    head, tail = PROMPTS["verify"].split("{names}")
+    said = lists.select(ask(model, F.concat(F.lit(head), "names", F.lit(tail))).alias("a"))
+    return said.select(F.explode(F.split("a", "\n")).alias("a")).select(F.trim("a").alias("entity_name")).filter("entity_name <> ''").distinct()
+
+
+class Limited:
+    """At most ``most`` calls of a model at once in one process."""
+
+    def __init__(self, model: Callable[..., str], most: int = 8):
+        self.model, self.most, self._gate = model, most, None
+
+    def __call__(self, *args, **kwargs) -> str:
+        if self._gate is None:
+            self._gate = threading.BoundedSemaphore(self.most)
+        with self._gate:
+            return self.model(*args, **kwargs)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_gate": None}
+
+
+class HttpChat:
+    """A chat model behind the usual JSON interface. The key is read where the model runs: from the given variables in turn, else as given."""
+
+    def __init__(self, url: str, model: str, key_names: tuple[str, ...] = ("GROVE_API_KEY",), key: str = "", most_chars: int = 200_000, timeout: float = 120):
+        self.url, self.model, self.key_names, self.key, self.most_chars, self.timeout = url, model, key_names, key, most_chars, timeout
+
+    def request(self, prompt: str, system_prompt: str | None = None, history: list[dict] | None = None) -> dict:
+        said = [{"role": "system", "content": system_prompt}] if system_prompt else []
+        return {"model": self.model, "messages": [*said, *(history or []), {"role": "user", "content": prompt[: self.most_chars]}]}
+
+    def __call__(self, prompt: str, system_prompt: str | None = None, history: list[dict] | None = None) -> str:
+        key = next((os.environ[k] for k in self.key_names if os.environ.get(k)), self.key)
+        body = json.dumps(self.request(prompt, system_prompt, history)).encode()
+        call = urllib.request.Request(self.url.rstrip("/") + "/chat/completions", body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        with urllib.request.urlopen(call, timeout=self.timeout) as answer:
+            return json.loads(answer.read())["choices"][0]["message"]["content"] or ""
+
+
 def fill_media(media: DataFrame, captioner: Callable[[str], str] = default_captioner, table_model: Callable[[str], str] = default_table_summary, overwrite: bool = False) -> DataFrame:
     """Caption images and summarise tables that have none (or all, with ``overwrite``)."""
     caption = F.pandas_udf(lambda s: s.fillna("").map(captioner), "string")
@@ -162,6 +219,7 @@ PROMPTS = {
     "aggregate": "Name and describe what these entities have in common, as JSON with findings:\n{members}",
     "relate": "Describe how {a} and {b} are related, in at most {tokens} tokens:\n{relations}",
     "answer": "Answer by the context alone.\nContext:\n{context}\nQuestion: {question}",
+    "verify": "Keep of this list what names a thing or an idea, one per line and as it is written.\n{names}",
     "judge": "Score the answer from 1 to 10 for each criterion, as JSON.\nQuestion: {question}\nAnswer: {answer}",
     "judge_triple": "Score from 0 to 1 how well the text supports the triple, as JSON with score and rationale.\nText: {text}\nTriple: {triple}",
 }

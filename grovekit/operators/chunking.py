@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +15,18 @@ def char_windows(docs: DataFrame, size: int = 1024, overlap: int = 128, id_col:
     """``doc_id, chunk_index, start, hash_code, text`` of sliding windows of characters; ids hash the raw window."""
     step = size - overlap
     starts = F.when(F.length(text_col) > 0, F.sequence(F.lit(0), F.length(text_col) - 1, F.lit(step)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), F.posexplode(starts).alias("chunk_index", "start"))
-    raw = F.substring(F.col("__t"), F.col("start") + 1, F.lit(size))
-    return rows.select("doc_id", "chunk_index", "start", F.md5(raw.cast("binary")).alias("hash_code"), T.strip(F.replace(raw, F.lit("\n"), F.lit(""))).alias("text"))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(F.col(text_col), s + 1, F.lit(size)).alias("raw")))  # cut first: rows carry their own window alone
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("chunk_index", "c"))
+    raw = F.col("c.raw")
+    return rows.select("doc_id", "chunk_index", F.col("c.start").alias("start"), F.md5(raw.cast("binary")).alias("hash_code"), T.strip(F.replace(raw, F.lit("\n"), F.lit(""))).alias("text"))
 
 
-def word_windows(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same with windows of words; any tokenizer can take the place of white space by giving an array."""
+def word_windows(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = T.tokens, joiner: str = " ") -> DataFrame:
+    """The same with windows of tokens; ``tokenizer`` maps a text to an array of strings, by default its words."""
     step = size - overlap
-    rows = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("__w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("__w"))
     starts = F.when(F.size("__w") > 0, F.sequence(F.lit(0), F.size("__w") - 1, F.lit(step)))
-    parts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice("__w", s + 1, size), " ").alias("text")))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice("__w", s + 1, size), joiner).alias("text")))
     out = rows.select("doc_id", F.posexplode(parts).alias("chunk_index", "c"))
     return out.select("doc_id", "chunk_index", F.col("c.start").alias("start"), F.md5(F.col("c.text").cast("binary")).alias("hash_code"), F.col("c.text").alias("text"))
 

@@ -119,6 +119,12 @@ def build_status(docs: DataFrame, artifacts: DataFrame, wanted: list[str]) -> Da
     return rows.select("doc_id", "missing", F.when(F.size("missing") == 0, "built").when(F.size("missing") == len(wanted), "absent").otherwise("partial").alias("status"))
 
 
+def token_totals(calls: DataFrame, *by: str) -> DataFrame:
+    """Number of model calls and sums of their prompt and completion tokens; null counts as none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), total("prompt_tokens"), total("completion_tokens"))
+
+
 def zip_rows(left: DataFrame, right: DataFrame, order: str = "ord") -> DataFrame:
     """Rows of two tables side by side by their ordinals, to the shorter's end."""
     return left.join(right, order, "inner")

@@ -33,10 +33,10 @@ def cooccurrences(chunks: DataFrame, limit: int = 8, ascii_safe: bool = False, i
 def heuristic_entities(chunks: DataFrame, order: str = "ord", limit: int = 8, width: int = 500) -> DataFrame:
     """Entities without a model: distinct source ids in order, and a description that grows sentence by sentence until it has ``width`` characters."""
     names = T.candidate_entities("text", limit)
-    rows = chunks.select("hash_code", F.col(order).alias("ord"), "text", F.posexplode(names).alias("pos", "entity_name"))
+    cited = F.transform(names, lambda n: F.struct(n.alias("entity_name"), T.sentence_around(F.col("text"), n).alias("sentence")))  # before the rows are dealt
+    rows = chunks.select("hash_code", F.col(order).alias("ord"), F.posexplode(cited).alias("pos", "c")).select("hash_code", "ord", "pos", "c.*")
     # A description is full after ``width`` sentences at most, so that no more are gathered for a common name.
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("entity_name").orderBy("ord", "pos"))).filter(F.col("__n") <= width)
-    first = first.select("entity_name", "ord", "pos", T.sentence_around("text", "entity_name").alias("sentence"))
     told = first.groupBy("entity_name").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "sentence"))).alias("s"))
     description = F.aggregate("s", F.lit(""), lambda acc, x: F.when(F.length(acc) < width, F.trim(F.concat(acc, F.lit(" "), x["sentence"]))).otherwise(acc))
     ids = rows.groupBy("entity_name", "hash_code").agg(F.min(F.struct("ord", "pos")).alias("o"))
@@ -44,6 +44,20 @@ def heuristic_entities(chunks: DataFrame, order: str = "ord", limit: int = 8, wi
     return told.join(ids, "entity_name").select("entity_name", F.lit("CONCEPT").alias("entity_type"), description.alias("description"), "source_ids", F.lit(0).alias("degree"))
 
 
+def document_entity(entities: DataFrame, chunks: DataFrame, name: str = "document") -> DataFrame:
+    """``entities``, or the document itself as the one entity where there is none."""
+    none = entities.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    ids = chunks.agg(F.slice(F.array_sort(F.collect_set("hash_code")), 1, 5).alias("source_ids"))
+    row = ids.join(F.broadcast(none), F.lit(True), "left_semi").select(F.lit(name).alias("entity_name"), F.lit("CONCEPT").alias("entity_type"), F.lit(name).alias("description"), "source_ids", F.lit(0).alias("degree"))
+    return entities.unionByName(row)
+
+
+def with_chunk_text(triples: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``triples`` with the ``text`` of their chunk, empty where the chunk is unknown."""
+    texts = chunks.groupBy(F.col("hash_code").alias("source_id")).agg(F.max("text").alias("text"))
+    return triples.join(texts, "source_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def keep_sources(rows: DataFrame, mark: str, cap: int = 20_000, order: str = "ord", col: str = "source_id") -> DataFrame:
     """Of the first ``cap`` rows those whose source id holds the mark."""
     return rows.orderBy(order).limit(cap).filter(F.contains(F.col(col), F.lit(mark)))
@@ -114,7 +128,7 @@ def fold_ends(triples: DataFrame) -> DataFrame:
 def entities_of_triples(triples: DataFrame, col: str = "head", order: str = "ord") -> DataFrame:
     """Names in the order of a file of triples, signs stripped and underscores made blanks; repeats in a row count once.
 
-    Works on range partitions: only the last name of each partition meets its neighbour's first.
+    One equi-join of the rows with the rows before them, by gapless ordinals.
     """
     name = F.trim(F.regexp_replace(F.regexp_replace(F.col(col), r"^[<>\s]+|[<>\s]+$", ""), "_+", " "))
     rows = triples.select(F.col(order).alias("ord"), name.alias("entity_name")).filter("entity_name <> ''")

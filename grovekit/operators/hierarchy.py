@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import text as T
 from grovekit.functions.json_repair import community_fields
+from grovekit.models import ask
+from grovekit.sources.checkpoints import cut as checkpointed
 
-SAMPLE_ROWS = 20_000  # rows that cluster centres are fitted on, at most
+CELL_ROWS = 1000  # rows of a cell, in which a mixture is fitted
 
 
 def lift_relations(edges: DataFrame, membership: DataFrame, token_budget: int | None = None, summarize: Callable[[str], str] | None = None) -> DataFrame:
@@ -28,8 +30,8 @@ def lift_relations(edges: DataFrame, membership: DataFrame, token_budget: int |
     rows = both.filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), line.alias("line")).distinct()
     out = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_edges"), F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("description"))
     if token_budget is not None and summarize is not None:
-        ask = F.udf(summarize, "string")
-        out = out.withColumn("description", F.when(T.token_count("description") > token_budget, ask("description")).otherwise(F.col("description")))
+        asked = ask(summarize, F.when(T.token_count("description") > token_budget, F.col("description")))
+        out = out.withColumn("description", F.coalesce(asked, F.col("description")))
     return out
 
 
@@ -63,14 +65,6 @@ def pack_cluster(nodes: DataFrame, edges: DataFrame, max_tokens: int = 12_000) -
     return n.join(e, "cluster", "left").select("cluster", F.concat_ws("\n\n", "entities", "relations").alias("context"))
 
 
-def projected(x: np.ndarray, dims: int = 2) -> np.ndarray:
-    """Principal components of unit vectors (in place of a random manifold embedding)."""
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    x = x - x.mean(0)
-    _, _, v = np.linalg.svd(x, full_matrices=False)
-    return x @ v[:dims].T
-
-
 class Mixture:
     """Gaussian mixture with full covariances, by expectation maximisation from a seeded k-means++ start."""
 
@@ -133,50 +127,77 @@ def best_k(x: np.ndarray, most: int = 50, tolerance: float = 1e-3, seed: int = 2
     return out
 
 
-def cluster_layer(nodes: DataFrame, cluster_size: int = 20, id_col: str = "entity_name", seed: int = 224, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """``entity_name, cluster`` of every node.
+def principal_axes(nodes: DataFrame, dims: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and first principal axes of the unit vectors of all rows (in place of a random manifold embedding).
 
-    Projection, number of components and mixture are fitted on a sample of at
-    most ``sample`` rows (the smallest hashed names); every row is then assigned
-    in one Arrow pass.
+    Tasks send sums and products of their rows alone, of the vectors' width.
+    """
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, one, two = 0, 0.0, 0.0
+        for p in parts:
+            if len(p):
+                x = _unit(p["embedding"])
+                n, one, two = n + len(x), one + x.sum(0), two + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "one": [one.tolist()], "two": [two.ravel().tolist()]})
+
+    rows = nodes.select("embedding").mapInPandas(sums, "n long, one array<double>, two array<double>").orderBy("n", "one").collect()
+    n, one = sum(r.n for r in rows), sum(np.array(r.one) for r in rows)
+    mean = one / n
+    spread = sum(np.array(r.two) for r in rows).reshape(len(mean), -1) / n - np.outer(mean, mean)
+    _, axes = np.linalg.eigh(spread)
+    axes = axes[:, ::-1][:, : max(1, min(dims, n - 2))]
+    return mean, axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1, 1)  # a sign that doesn't hang on the machine
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def cluster_layer(nodes: DataFrame, cluster_size: int = 20, id_col: str = "entity_name", seed: int = 224, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``entity_name, cluster`` of every node: a Gaussian mixture whose number of components comes from its size and the criterion.
+
+    Vectors are projected on the principal axes of all rows. A layer of more than
+    ``cell_rows`` rows is cut into cells of about that many, by quantiles of the
+    first axis and of the second within them; rows that quantiles can't part are
+    parted by hash. Every cell has a mixture of its own, fitted on all its rows
+    in one task. Nothing is sampled, and the method is the same at every size.
     """
-    fitted = nodes.select(id_col, "embedding").orderBy(F.xxhash64(id_col), id_col).limit(sample).toPandas()
-    if len(fitted) < 3:
-        return nodes.select(id_col, F.lit(0).alias("cluster"))
-    x = np.stack(fitted["embedding"].to_numpy()).astype(float)
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centre = unit.mean(0)
-    _, _, v = np.linalg.svd(unit - centre, full_matrices=False)
-    basis = v[: max(1, min(2, len(x) - 2))].T
-    low = (unit - centre) @ basis
     n = nodes.count()
-    k = min(max(n // cluster_size, best_k(low, seed=seed)), len(low))
-    mixture = Mixture(low, k, seed) if k <= 64 else None
-    if mixture is None:
-        centres = _many_centres(low, k, seed)
-
-    @F.pandas_udf("int")
-    def assign(s: pd.Series) -> pd.Series:
-        rows = np.stack(s.to_numpy()).astype(float)
-        rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-        y = (rows - centre) @ basis
-        if mixture is not None:
-            return pd.Series(mixture.assign(y))
-        return pd.Series([int(((centres - p) ** 2).sum(1).argmin()) for p in y])
-
-    return nodes.select(id_col, assign("embedding").alias("cluster"))
-
-
-def _many_centres(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
-    """Centres for very many clusters, where full covariances are not worth their cost."""
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = np.concatenate([((part[:, None] - centres[None]) ** 2).sum(2).argmin(1) for part in np.array_split(x, max(1, len(x) * len(centres) // 5_000_000))])
-        for j in range(len(centres)):
-            if (near == j).any():
-                centres[j] = x[near == j].mean(0)
-    return centres
+    if n < 3:
+        return nodes.select(id_col, F.lit(0).cast("long").alias("cluster"))
+    mean, axes = principal_axes(nodes)
+
+    @F.pandas_udf("array<double>")
+    def project(s: pd.Series) -> pd.Series:
+        return pd.Series(list((_unit(s) - mean) @ axes))
+
+    low = checkpointed(nodes.select(id_col, project("embedding").alias("y")).select(id_col, F.get("y", F.lit(0)).alias("x"), F.coalesce(F.get("y", F.lit(1)), F.lit(0.0)).alias("y")))
+    side = int(np.ceil(np.sqrt(n / cell_rows)))
+    steps = F.array(*[F.lit((i + 1) / side) for i in range(side - 1)])
+
+    def cell_of(rows: DataFrame, part: list[str], axis: str, name: str) -> DataFrame:
+        if side == 1:
+            return rows.withColumn(name, F.lit(0))
+        edges = rows.groupBy(*part).agg(F.percentile_approx(axis, steps, 10_000).alias("__e"))
+        joined = rows.join(F.broadcast(edges), part) if part else rows.join(F.broadcast(edges), F.lit(True))  # one row
+        return joined.withColumn(name, F.size(F.filter("__e", lambda e: e < F.col(axis)))).drop("__e")
+
+    cells = cell_of(cell_of(low, [], "x", "i"), ["i"], "y", "j")
+    wide = cells.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / (2.0 * cell_rows)).cast("long").alias("deals")).filter("deals > 1")
+    cells = cells.join(F.broadcast(wide), ["i", "j"], "left").withColumn("k", F.coalesce(F.pmod(F.xxhash64(id_col), F.col("deals")), F.lit(0)))
+    kind = nodes.schema[id_col].dataType.simpleString()
+
+    def fit(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(id_col)
+        x = p[["x", "y"]].to_numpy()
+        k = min(max(len(x) // cluster_size, best_k(x, seed=seed) if len(x) > 2 else 1), len(x))
+        label = Mixture(x, k, seed).assign(x) if k > 1 else np.zeros(len(x), int)
+        return pd.DataFrame({id_col: p[id_col], "i": key[0], "j": key[1], "k": key[2], "label": label})
+
+    found = cells.groupBy("i", "j", "k").applyInPandas(fit, f"{id_col} {kind}, i int, j int, k long, label int")
+    return found.select(id_col, ((F.col("i").cast("long") * side + F.col("j")) * (1 << 36) + F.col("k") * 4 * cell_rows + F.col("label")).alias("cluster"))
 
 
 def synthesize(nodes: DataFrame, edges: DataFrame, layer: int, model: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
@@ -189,9 +210,8 @@ def synthesize(nodes: DataFrame, edges: DataFrame, layer: int, model: Callable[[
     grouped = members(nodes).join(pack_cluster(nodes, inner_relations(edges, nodes)), "cluster")
     texts = nodes.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity_name", "description"))), lambda x: x["description"]), " | ").alias("texts"), F.min("description").alias("one"))
     rows = grouped.join(texts, "cluster")
-    ask = F.udf(model, "string")
-    fallback = F.format_string("aggregate_layer_%d_label_%d", F.lit(layer), F.col("cluster"))
-    said = rows.withColumn("answer", F.when(F.col("n") > 1, ask("context")))
+    fallback = F.format_string("aggregate_layer_%d_label_%d", F.lit(layer), F.col("cluster"))  # fixed value: form of the name
+    said = rows.withColumn("answer", ask(model, F.when(F.col("n") > 1, F.col("context"))))
     name, description, findings = community_fields("answer", fallback, T.truncate_tokens("texts", 256))
     single = F.col("n") == 1
     named = said.select(

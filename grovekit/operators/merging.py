@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovekit.functions import text as T
+from grovekit.models import ask
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows; else joins shuffle it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows and ``size`` bytes; else joins shuffle it."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def merge_entities(rows: DataFrame, order: list[str], separator: str = " | ", id_cap: int | None = None) -> DataFrame:
@@ -53,8 +56,7 @@ def first_in_chunk_last_over_all(rows: DataFrame, key: str = "entity_name", valu
 
 def summarize_long(rows: DataFrame, model, max_tokens: int = 50, col: str = "description") -> DataFrame:
     """Descriptions over ``max_tokens`` words go to the model; where it is silent the text stays."""
-    ask = F.udf(lambda t: model(t) or t, "string")
-    return rows.withColumn(col, F.when(T.token_count(col) > max_tokens, ask(col)).otherwise(F.col(col)))
+    return rows.withColumn(col, F.coalesce(ask(model, F.when(T.token_count(col) > max_tokens, F.col(col))), F.col(col)))
 
 
 def combine_relations(base: DataFrame, generated: DataFrame, values: list[str]) -> DataFrame:

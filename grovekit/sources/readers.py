@@ -31,6 +31,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def count_lines(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("header", header).option("sep", sep).option("multiLine", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -96,6 +100,14 @@ def has_qa_shape(df: DataFrame) -> bool:
     return bool(have & set(QUESTION_KEYS)) and bool(have & set(ANSWER_KEYS))
 
 
+def find_qa(spark: SparkSession, folder: str, own: tuple[str, ...] = ("predictions", "manifest", "scores")) -> DataFrame | None:
+    """Questions of all files of a folder and its subfolders; files whose path names one of our ``own`` artifacts are left out. Only names are listed."""
+    kinds = ("jsonl", "json", "csv", "parquet")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(folder).select("path")
+    paths = sorted(r.path for r in files.collect())
+    return read_qa(spark, *(p for p in paths if not any(w in p.rpartition("/")[2].lower() for w in own)))
+
+
 def read_qa(spark: SparkSession, *paths: str) -> DataFrame:
     """Questions of several files in one table; other columns go to ``metadata``. Files without the shape of questions are skipped."""
     out = None

@@ -47,9 +47,17 @@ def load_workspace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return tuple(spark.read.parquet(f"{path}/{t}") for t in ("entities", "relations", "communities"))
 
 
+def save_chunks(path: str, chunks: DataFrame) -> None:
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+
+
+def load_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/chunks")
+
+
 def save_evidence(path: str, chunks: DataFrame, media: DataFrame) -> None:
     """Chunks, media and the text-only export."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    save_chunks(path, chunks)
     media.write.mode("overwrite").parquet(f"{path}/media")
     chunks.filter("modality = 'text'").select("hash_code", "text").write.mode("overwrite").parquet(f"{path}/text_chunks")
 
