@@ -198,7 +198,7 @@ def triple_anti_join(spark, d):
     return extraction.new_triples(found, known)
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 500) WHERE contains(source, 'src1')")
+@query("SELECT doc_id FROM (SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 20000) WHERE contains(source, 'src1')")
 def capped_sources(spark, d):
     return extraction.keep_sources(table(spark, d, "documents"), "src1", order="doc_id", col="source").select("doc_id")
 
@@ -360,7 +360,7 @@ def ancestor_chain(spark, d):
     return retrieval.ancestors(leaves, parents, 3)
 
 
-@query("WITH " + TREE.format("s_suppkey", "s_nationkey", "supplier") + """, s AS (SELECT * FROM l JOIN nr USING (n) WHERE k <= 40)
+@query("WITH " + TREE.format("s_suppkey", "s_nationkey", "supplier") + """, s AS (SELECT * FROM l JOIN nr USING (n))
 SELECT a.anchor AS a, b.anchor AS b, CASE WHEN a.n = b.n THEN a.anchor || '>' || a.n || '>' || b.anchor WHEN a.r = b.r THEN a.anchor || '>' || a.n || '>' || a.r || '>' || b.n || '>' || b.anchor
  ELSE a.anchor || '>' || a.n || '>' || a.r || '>root>' || b.r || '>' || b.n || '>' || b.anchor END AS path FROM s a JOIN s b ON a.k < b.k""")
 def lca_path_pairs(spark, d):
@@ -415,14 +415,13 @@ def evidence_fields(spark, d):
     return retrieval.normalize_evidence(rows).select("doc_id", "modality", "summary")
 
 
-@query("""SELECT n.n_name AS doc_name, coalesce(max(CASE WHEN r_name = n_name THEN r_name END), min(r_name)) AS file_name FROM nation n JOIN region ON contains(lower(n_name), lower(substring(r_name, 1, 2))) GROUP BY n_name""")
-def fuzzy_match(spark, d):
-    docs = table(spark, d, "nation").select(F.col("n_name").alias("doc_name"))
-    files = table(spark, d, "region").select(F.lower(F.substring("r_name", 1, 2)).alias("file_name"), "r_name")
-    return media.match_files(docs, files.select("file_name")).join(files, "file_name").groupBy("doc_name").agg(F.min("r_name").alias("file_name"))
-
-
-@query()
+@query(f"""WITH t AS (SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id AS v, e.label AS label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {IP} DESC, 'v' || e.vec_id::VARCHAR) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5),
+i AS (SELECT qid, rank * 2 AS o, v::VARCHAR AS source_id FROM t UNION ALL SELECT qid, rank * 2 + 1, ((v + 1) % 500)::VARCHAR FROM t),
+b AS (SELECT qid, source_id, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, min(o), source_id) AS n FROM i GROUP BY qid, source_id),
+s AS (SELECT qid, string_agg(source_id, '|' ORDER BY source_id) AS evidence FROM b JOIN documents ON source_id = doc_id::VARCHAR WHERE n <= 5 GROUP BY qid)
+SELECT qid, (count(*) * (count(*) - 1) // 2)::BIGINT AS paths, string_agg('v' || v::VARCHAR, '|' ORDER BY rank) AS anchors,
+ string_agg('v' || v::VARCHAR || ' belongs to label' || label::VARCHAR, '|' ORDER BY 'v' || v::VARCHAR || ' belongs to label' || label::VARCHAR) AS links,
+ string_agg(DISTINCT 'label' || label::VARCHAR, '|' ORDER BY 'label' || label::VARCHAR) AS communities, any_value(evidence) AS evidence FROM t LEFT JOIN s USING (qid) GROUP BY qid""")
 def hierarchical_retrieval(spark, d):
     """Anchors, paths, links, reports and evidence of a batch of questions, over a small tree from the tables."""
     return flagship(spark, d)
@@ -452,12 +451,13 @@ def _media(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return chunks, items
 
 
-MEDIA = r"""c AS (SELECT printf('c%04d', doc_id) AS chunk_id, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 50 END AS cp, doc_id AS co, substring(text, 1, 300) AS t FROM documents WHERE doc_id < 200),
-m AS (SELECT printf('m%04d', page_id) AS media_id, CASE WHEN page_id % 7 <> 0 THEN page_id END AS mp, page_id AS mi, url AS mt, page_id % 2 = 0 AS img FROM pages WHERE page_id < 40),
-j AS (SELECT media_id, chunk_id, co, coalesce(1.0 - abs(mp - cp) / 2.0, 0.5) AS p, greatest(0.0, 1.0 - abs(co - least(199, mi)) / 200.0) AS o,
- least(1.0, (CASE WHEN (img AND (contains(lower(t), 'figure') OR contains(lower(t), 'fig.') OR contains(lower(t), 'image') OR contains(lower(t), 'table'))) OR (NOT img AND (contains(lower(t), 'table') OR contains(lower(t), 'tab.'))) THEN 1.0 ELSE 0.0 END)
-  + len(list_intersect(list_distinct(regexp_extract_all(lower(t), '[A-Za-z0-9_%-]+')), list_distinct(regexp_extract_all(lower(mt), '[A-Za-z0-9_%-]+')))) / 20.0) AS n
- FROM c JOIN m ON cp IS NULL OR mp IS NULL OR abs(mp - cp) <= 1),
+MEDIA = r"""c AS (SELECT printf('c%04d', doc_id) AS chunk_id, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 50 END AS cp, doc_id AS co, lower(text) AS t, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9_%-]+')) AS tw FROM documents),
+m AS (SELECT printf('m%04d', page_id) AS media_id, CASE WHEN page_id % 7 <> 0 THEN page_id END AS mp, page_id AS mi, list_distinct(regexp_extract_all(lower(url), '[A-Za-z0-9_%-]+')) AS mw, page_id % 2 = 0 AS img FROM pages),
+nd AS (SELECT count(*) AS nd FROM documents),
+j AS (SELECT media_id, chunk_id, co, coalesce(1.0 - abs(mp - cp) / 2.0, 0.5) AS p, greatest(0.0, 1.0 - abs(co - least(nd - 1, mi)) / nd::DOUBLE) AS o,
+ least(1.0, (CASE WHEN (img AND (contains(t, 'figure') OR contains(t, 'fig.') OR contains(t, 'image') OR contains(t, 'table'))) OR (NOT img AND (contains(t, 'table') OR contains(t, 'tab.'))) THEN 1.0 ELSE 0.0 END)
+  + len(list_intersect(tw, mw)) / 20.0) AS n
+ FROM nd, c JOIN m ON cp IS NULL OR mp IS NULL OR abs(mp - cp) <= 1),
 s AS (SELECT media_id, chunk_id, co, round(0.40 * p + 0.20 * o + 0.10 * n, 6) AS score FROM j),
 l AS (SELECT media_id, chunk_id, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, co, chunk_id) AS rank FROM s)"""
 
@@ -516,7 +516,7 @@ def number_extraction(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, ((abs(l_quantity - p) <= greatest(1e-3 * greatest(abs(l_quantity), abs(p)), 1e-3)) OR (abs(l_quantity - p * 0.01) <= greatest(1e-3 * greatest(abs(l_quantity), abs(p * 0.01)), 1e-3)))::INT::DOUBLE AS hit
-FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 100 ELSE l_quantity + l_linenumber - 3 END AS p FROM lineitem WHERE l_orderkey < 2000)""")
+FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 100 ELSE l_quantity + l_linenumber - 3 END AS p FROM lineitem)""")
 def numeric_match(spark, d):
     rows = table(spark, d, "lineitem").withColumn("p", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") * 100).otherwise(F.col("l_quantity") + F.col("l_linenumber") - 3))
     text = lambda c: F.concat(F.lit("about "), F.col(c).cast("string"))
@@ -585,7 +585,7 @@ def page_prf(spark, d):
 
 
 @query("""SELECT l_orderkey, string_agg(DISTINCT q::VARCHAR, ',' ORDER BY q::VARCHAR) AS pages FROM (SELECT l_orderkey, unnest(CASE WHEN b - a <= 20 THEN list_concat(range(a, b + 1), [p]) ELSE [a, b, p] END) AS q
-FROM (SELECT l_orderkey, (l_partkey % 9 + 1)::BIGINT AS a, (l_partkey % 9 + 1 + l_suppkey % 30)::BIGINT AS b, l_linenumber::BIGINT AS p FROM lineitem WHERE l_orderkey < 500)) GROUP BY l_orderkey""")
+FROM (SELECT l_orderkey, (l_partkey % 9 + 1)::BIGINT AS a, (l_partkey % 9 + 1 + l_suppkey % 30)::BIGINT AS b, l_linenumber::BIGINT AS p FROM lineitem)) GROUP BY l_orderkey""")
 def page_ranges(spark, d):
     i = lambda c: c.cast("int")
     item = F.struct(F.col("l_linenumber").alias("page"), i(F.col("l_partkey") % 9 + 1).alias("page_start"), i(F.col("l_partkey") % 9 + 1 + F.col("l_suppkey") % 30).alias("page_end"))
@@ -662,3 +662,4 @@ def windowed_counts(spark, d):
     return ingest.windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
+from grovekit.plans import workspace  # noqa: E402,F401  registers its own queries
