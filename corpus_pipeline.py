@@ -18,6 +18,7 @@ from grovekit.llm.common import cut, ensure_checkpoint_dir, prepare, read_table
 
 BROADCAST_IDS = 1_000_000
 NEAR_WORDS, NEAR_PERCENT = 5, 80  # near copies of a corpus; op9 has its own
+SURE = 0.5  # least score of a language that is told
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -28,18 +29,28 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can be told stay; texts without a letter, and null texts, go. Only they go where no row has a language to learn from."""
+    """Rows whose language can be told stay, and a null ``lang`` becomes the language told.
+
+    Texts without a letter, null and empty texts, and texts for which no language
+    has ``SURE`` of the score go; only texts without a letter where no row has a
+    language to learn from. Repeated rows are treated alike; an empty table stays empty.
+    """
     prepare(spark)
     model = language_id.fit(docs)
     if not model.langs:
         return docs.filter(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     plain = docs.select("doc_id", "text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
-    told = language_id.predict(plain, model, "doc_id", "text", *plain.columns[2:]).filter(F.col("lang_pred") != language_id.UNDETERMINED)
-    return told.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+    told = language_id.predict(plain, model, "doc_id", "text", *plain.columns[2:]).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= SURE))
+    named = [F.coalesce(f"__{i}", "lang_pred") if c == "lang" else F.col(f"__{i}") for i, c in enumerate(docs.columns)]
+    return told.select(*[x.alias(c) for x, c in zip(named, docs.columns, strict=True)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays; null ids stay."""
+    """Of each component of near copies the document with the smallest id stays.
+
+    Rows go by their id: rows that repeat an id stay or go together. Null ids,
+    and texts without words, which are near to nothing, stay.
+    """
     prepare(spark)
     joined = jaccard_join.join_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = cut(joined.filter("doc_id <> component_id").select("doc_id").distinct())
@@ -49,18 +60,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that an earlier document has are taken out."""
+    """Strings of 50 bytes that an earlier document has are taken out.
+
+    Null texts stay, and so do rows of one id beside each other; rows of which
+    white space alone is left by that go. Long texts are treated whole.
+    """
     prepare(spark)
     return _counted(suffix_dedup.remove_repeats(docs))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of two benchmark items go; a single item's words are taken out."""
+    """Documents with passages of two benchmark items go; a single item's words are taken out. Null and empty texts, and all where there is no item, stay as they are."""
     return _counted(decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, in sequences of 4096 tokens."""
+    """All that is left, in sequences of 4096 tokens; null and empty texts as their end id alone, repeated rows each."""
     prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -73,16 +88,24 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Tokenising and the suffix sort aren't SQL; tests compare with a plain version.
+#: Language scores and tokenising aren't SQL; tests/llm/test_pipeline.py compares run() with plain versions of all stages.
 ORACLE_SQL = None
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``, each written to the shared checkpoint folder and read again; the table of a stage goes when the next one is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            _forget(spark, f"{folder}/{last}")
+        docs, last = spark.read.parquet(f"{folder}/{name}"), name
     return docs
