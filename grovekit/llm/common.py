@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 from collections.abc import Iterator
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 from grovekit.shipping import ship
 
 
-BATCH_ROWS = 1000  # rows of an Arrow batch, at most: texts are long, and executors small
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # of an Arrow batch, at most: texts are long, and executors small
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+PARTITION_BYTES = 16 << 20  # of input files that one task of a shuffle answers for
 
 
 def prepare(spark: SparkSession) -> None:
     """Send the code to executors and keep Arrow batches small; a smaller setting of the session stays."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +35,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset, a local folder of our own."""
+    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset and all runs on one machine, a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="grovekit-checkpoint-"))
 
 
@@ -45,8 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle of what ``df`` reads: the session's number, and more where its inputs are larger."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    known = size if size < 1 << 60 else 0  # inputs that can't tell say the largest number
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // PARTITION_BYTES)
+
+
+def small(df: DataFrame, payload: str) -> DataFrame:
+    """``df`` marked for broadcast if its rows and the bytes of its largest column are within the bounds."""
+    kind = df.schema[payload].dataType.typeName()
+    size = F.octet_length(payload) if kind in ("string", "binary") else F.octet_length(F.to_json(payload))
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -527,7 +527,7 @@ def _buckets(n_parts: int) -> int:
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (``doc_id, n, unit``), units (``unit, rep``) and verified links of units (``a, b``) that span all components."""
     spark = docs.sparkSession
-    n_parts = partitions(spark)
+    n_parts = partitions(docs)
     buckets = _buckets(n_parts)
     texts = binary_docs(docs)
     digest = cut(_digest(texts, n, percent, buckets))

@@ -29,12 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import cut, partitions, slices, trim
+from grovekit.llm.common import cut, partitions, slices, small, trim
 from grovekit.llm.rolling import _BASE, _INVERSE, BYTES, mix, powers
 
 LENGTH = 50
 K = 16
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 LAST = (1 << 63) - 1  # where rows without an id stand
 _FLUSH_MARKS, _FLUSH_SUFFIXES = 500_000, 100_000
 _H32 = np.uint64((1 << 32) - 1)
@@ -250,17 +249,16 @@ def _suffix_runs(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         r, lf = _columns(right), _columns(left)
         by = np.lexsort((owner[:, 1], owner[:, 0], sides[:, 1], sides[:, 0], *lf[::-1], *r[::-1]))
         right, left, sides, owner = right[by], left[by], sides[by], owner[by]
-        new = np.ones(len(by), bool)
+        new = np.zeros(len(by), bool)
+        new[0] = True
         for c in (*r, *lf):
             c = c[by]
-            same = c[1:] == c[:-1]
-            new[1:] = ~same if c is r[0] else new[1:] | ~same
+            new[1:] |= c[1:] != c[:-1]
         new[1:] |= (sides[1:] != sides[:-1]).any(1)
-        first = np.flatnonzero(new)
-        least = owner[first, 0][np.cumsum(new) - 1]
-        done = (owner[:, 0] > least) & (sides.sum(1) >= length)
+        least = owner[new, 0][np.cumsum(new) - 1]  # rows of one context are sorted by rank
+        done = owner[:, 0] > least  # a document before has all that stands around the mark
         yield from _dealt(owner[done, 1], owner[done, 2] - sides[done, 0], owner[done, 2] + sides[done, 1], buckets)
-        go = first  # the smallest of each context stands for it
+        go = ~done  # the places of the first document stand for a context
         right, left, sides, owner = right[go], left[go], sides[go], owner[go]
         c = _columns(right[:, :K])
         bucket = (mix(mix(c[0]) + c[1]) >> bits).astype(np.int64)
@@ -488,21 +486,15 @@ def _spans(intervals: DataFrame, n_parts: int) -> DataFrame:
     return intervals.repartition(n_parts, "bucket").mapInArrow(run, "uid long, spans binary")
 
 
-def _small(df: DataFrame, payload: str) -> DataFrame:
-    """``df`` marked for broadcast if its rows and payload bytes are within the bounds."""
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
-
-
 def find_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``__sha`` (of the whole text), ``__first`` (smallest id of that text) and ``__spans`` (packed, null if none)."""
-    n_parts = partitions(docs.sparkSession)
+    n_parts = partitions(docs)
     buckets = 1 << (4 * n_parts - 1).bit_length()
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.withColumns({"__rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__sha": F.unhex(F.sha2(text, 256))})
     firsts = cut(keyed.groupBy("__sha").agg(F.min("__rank").alias("__first"), F.max("__rank").alias("__last"), F.max(F.octet_length(text)).alias("__n")))
     long = keyed.filter(F.octet_length(text) >= length).select(text.alias("text"), F.col("__rank").alias("rank"), F.col("__sha").alias("sha"))
-    copied = _small(firsts.filter("__last > __first").select(F.col("__sha").alias("sha"), F.col("__first").alias("first")), "sha")
+    copied = small(firsts.filter("__last > __first").select(F.col("__sha").alias("sha"), F.col("__first").alias("first")), "sha")
     alone = long.join(copied, "sha", "left").filter("first is null or first = rank").drop("first")
     found = cut(_shared_marks(_mark_runs(alone, length, buckets), n_parts))
     names = found.filter("sha is not null").select(F.col("base").alias("uid"), "rank", "sha")
@@ -510,7 +502,7 @@ def find_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _pressed(alone).join(places.hint("merge"), "sha")
     intervals = _merged(_suffix_runs(rows, length, buckets), length, buckets, n_parts)
     spans = cut(_spans(intervals, n_parts).join(places.select("uid", "sha"), "uid").groupBy(F.col("sha").alias("__sha")).agg(F.min("spans").alias("__spans")))
-    marked = keyed.join(_small(firsts.filter("__last > __first").select("__sha", "__first"), "__sha"), "__sha", "left").join(_small(spans, "__spans"), "__sha", "left")
+    marked = keyed.join(small(firsts.filter("__last > __first").select("__sha", "__first"), "__sha"), "__sha", "left").join(small(spans, "__spans"), "__sha", "left")
     return marked.withColumn("__first", F.coalesce("__first", "__rank"))
 
 
