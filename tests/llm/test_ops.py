@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -128,24 +129,56 @@ def test_packing(spark, docs, corpus, nothing):
     want = Counter()
     for i, t, _ in corpus:
         want[(i, tuple([*tok.encode(t or "", add_special_tokens=False).ids, 2]))] += 1
-    pieces, sequences = {}, {}
+    pieces, sequences = Counter(), {}
     for r in got:
-        pieces.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+        pieces[(r.doc_id, r.doc_tokens, r.start, r.length, r.ids_crc32)] += 1
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for own in sequences.values():
         at = 0
         for offset, length in sorted(own):
-            assert offset == at
+            assert offset == at and length > 0
             at += length
         assert at <= 4096 and at & (at - 1) == 0
+    # Each copy of a document is a chain of pieces from 0 to its end, and no piece is left over.
     for (i, ids), k in want.items():
-        own = [r for r in pieces[(i, len(ids))] if zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32]
-        starts = Counter((r.start, r.length) for r in own)
-        assert sum(r.length for r in own) >= k * len(ids) and {0} <= {s for s, _ in starts}
+        for _ in range(k):
+            at = 0
+            while at < len(ids):
+                fits = (p for p in pieces if p[:3] == (i, len(ids), at) and zlib.crc32(np.array(ids[at : at + p[3]], "<u4").tobytes()) == p[4])
+                piece = max(fits, key=lambda p: p[3])
+                pieces[piece] -= 1
+                pieces += Counter()
+                at += piece[3]
+            assert at == len(ids)
+    assert not pieces
     assert sum(r.length for r in got) == sum(len(ids) * k for (_, ids), k in want.items())
     assert packing.pack_documents(nothing, TOKENIZER).count() == 0
 
 
+def test_ids_of_every_character():
+    from tokenizers import Tokenizer
+
+    own, plain = packing.WordTokenizer(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    assert own.by_words
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    odd = [c for c in every if c.isalnum() and not plain.normalizer.normalize_str(c).isalnum()]  # letters that end in a mark
+    assert "\u0130" in odd and len(odd) > 50
+    capitals = [f"{a}{chr(m)}{b}" for a in "AHJKTWYIhjtwy" for m in range(0x300, 0x370) for b in ("", "x", "\u0301")]
+    for chars in (odd, capitals, every[: 0x3000 : 3], every[0x3000 :: 97]):
+        for at in range(0, len(chars), 200):
+            text = " ".join(f"x{c}! {c}. Y{c}, {c}.\n{c}a {c}{c}-" for c in chars[at : at + 200])
+            assert np.frombuffer(own([text.encode()])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_other_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    text = "Signs, capitals  and\u0130! two  blanks."
+    assert not own.by_words and np.frombuffer(own([text.encode()])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 # 3
 
 
@@ -210,7 +243,105 @@ def test_html(spark):
 
 def test_tree_learns_its_table():
     tree = html_text.train()
-    assert all(tree(row[:-1]) == bool(row[-1]) for row in html_text.LABELLED)
+    rows, kept = html_text.labelled()
+    assert [tree(tuple(r)) for r in rows] == kept.astype(bool).tolist() and len(rows) > 200
+
+    def used(node):
+        return {node.feature} | used(node.low) | used(node.high) if node.feature >= 0 else set()
+
+    assert tree.feature == 3 and used(tree) & {0, 4} and used(tree) & {1, 5} and 2 in used(tree)  # own link density first; words and densities beside it
+
+
+def test_main_text_of_odd_pages(spark, nothing):
+    p = "The quick fox went on to describe in some detail what it saw along the way home that evening, and slept."
+    tree = html_text.train()
+    cases = [
+        (f"<div><a>Home</a> <a>About</a> <a>News</a></div><p>{p}</p><p>{p}</p>", f"{p}\n\n{p}"),
+        (f'<div class="post"><h1>Title here</h1><p>{p}</p><p><a>one two</a> <a>three four</a> <a>five</a></p><p>{p}</p></div>', f"Title here\n\n{p}\n\n{p}"),
+        (f'<div class="tags-page"><article><h1>T</h1><p>{p}</p></article></div>', f"T\n\n{p}"),
+        (f'<div class="social-studies"><h2>Topic</h2><p>{p}</p><p>{p}</p></div>', f"Topic\n\n{p}\n\n{p}"),
+        (f'<article><div class="article-header"><h1>Mine</h1><p class="byline">By A</p></div><p>{p}</p></article>', f"Mine\n\n{p}"),
+        (f'<div class="page-header"><h1>Site</h1></div><main><p>{p}</p></main><section class="comments"><article><p>{p} {p}</p></article></section><aside>{p}</aside>', p),
+        (f'<div id="content"><h2>Story</h2><p>{p}</p><form>{p}</form></div><div id="sidebar">{p}</div><div class="cookie-notice">{p}</div>', f"Story\n\n{p}"),
+    ]
+    for page, want in cases:
+        assert html_text.main_text(page, tree) == want
+    start = time.time()
+    for tag in ("<div>", '<div class="ad">'):
+        html_text.main_text(tag * 50_000 + "</b>" * 50_000 + "x", tree)
+    assert time.time() - start < 20  # quadratic time would be minutes
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
+def plain_main_text(tree, root):
+    """Main text of a page given as nested (tag, name, children), by looking at all ancestors of each block."""
+    blocks, order = [], []
+
+    def walk(node, above):
+        if isinstance(node, str):
+            blocks[-1][1].append((node, any(x[0] == "a" for x in above)))
+            return
+        order.append(node)
+        if node[0] not in html_text.INLINE:
+            blocks.append((above + [node], []))
+        for child in node[2]:
+            walk(child, above + [node])
+        if node[0] not in html_text.INLINE:
+            blocks.append((above, []))
+
+    blocks.append(([], []))
+    walk(root, [])
+    own = []
+    for above, texts in blocks:
+        w = " ".join(t for t, _ in texts).split()
+        if w:
+            own.append((above, w, sum(len(t.split()) for t, linked in texts if linked) / len(w)))
+    heads = [next((n for n in order if n[0] in tags), None) for tags in (("h1",), ("article", "main"))]
+
+    def counts(node, above):
+        if node[0] in ("nav", "aside", "footer"):
+            return True
+        if node[1] not in ("ad", "sidebar", "comments"):
+            return False
+        holds = any(any(x is node for x in a) and len(w) >= 20 and d < 0.5 for a, w, d in own)
+        first = any(h is not None and (h is node or any(x is h for x in below(node))) for h in heads)
+        return not (holds and first)
+
+    def below(node):
+        return [] if isinstance(node, str) else [y for x in node[2] if not isinstance(x, str) for y in [x, *below(x)]]
+
+    shape = [(len(w), d) for _, w, d in own]
+    kept = []
+    for (above, w, d), x, y in zip(own, [(0, 0.0), *shape], [*shape[1:], (0, 0.0)], strict=False):
+        named = any(counts(n, above) for n in above)
+        content = any(n[0] in ("article", "main") or n[1] == "post" for n in above)
+        heading = any(n[0] in html_text.HEADINGS for n in above)
+        if tree((*x, len(w), d, *y, int(named), int(content), int(heading))):
+            kept.append(" ".join(w))
+    return "\n\n".join(kept)
+
+
+def test_main_text_as_plain():
+    rng, tree = random.Random(8), html_text.train()
+
+    def grow(depth):
+        tag = rng.choice(["div", "div", "section", "p", "h1", "h2", "ul", "article", "main", "nav", "aside", "footer", "b", "a"])
+        inner = [words(rng, rng.choice([1, 2, 5, 9, 15, 30, 60])) if depth == 0 or rng.random() < 0.5 else grow(depth - 1) for _ in range(rng.randrange(1, 4))]
+        return (tag, rng.choice(["", "", "", "ad", "sidebar", "comments", "post", "plain"]) if tag in ("div", "section") else "", inner)
+
+    def render(node):
+        if isinstance(node, str):
+            return f" {node} "
+        name = f' class="{node[1]}"' if node[1] else ""
+        return f"<{node[0]}{name}>{''.join(map(render, node[2]))}</{node[0]}>"
+
+    some = 0
+    for _ in range(400):
+        root = ("body", "", [grow(4) for _ in range(rng.randrange(1, 5))])
+        want = plain_main_text(tree, root)
+        some += bool(want)
+        assert html_text.main_text(render(root), tree) == want
+    assert some > 200
 
 
 # 6
@@ -239,6 +370,16 @@ def test_repeated_strings(docs, corpus, nothing):
     assert suffix_dedup.report(nothing).count() == 0 and suffix_dedup.remove_repeats(nothing).columns == nothing.columns
 
 
+def test_passages_repeated_inside_and_across_documents(spark):
+    """A passage twice in the document that has it first, equal contexts in one task, and copies in other partitions."""
+    rng = random.Random(6)
+    passage = words(rng, 20)
+    rows = [(i, f"{passage}\n{passage}" if i % 3 else f"{words(rng, 30)} {passage} {words(rng, 9)} {passage}", "") for i in range(24)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    for n in (1, 5):
+        assert collected(suffix_dedup.report(df.repartition(n))) == plain_dedup(rows)
+
+
 def test_removal_keeps_rows_and_columns(docs, corpus):
     got = suffix_dedup.remove_repeats(docs)
     assert got.columns == docs.columns
@@ -355,7 +496,7 @@ def test_languages(spark, sf, docs, nothing):
 # 9
 
 
-def plain_components(rows, n=4):
+def plain_components(rows, n=4, percent=85):
     sets, parent = [], {}
 
     def find(x):
@@ -369,7 +510,7 @@ def plain_components(rows, n=4):
     for a in range(len(rows)):
         for b in range(a):
             x, y = sets[a], sets[b]
-            if x and y and None not in (rows[a][0], rows[b][0]) and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and None not in (rows[a][0], rows[b][0]) and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(rows[a][0]), find(rows[b][0])
                 parent[max(p, q)] = min(p, q)
     return sorted(((i, len(s), None if i is None else find(i)) for (i, _, _), s in zip(rows, sets, strict=True)), key=repr)
@@ -383,6 +524,26 @@ def test_near_copies(docs, corpus, nothing, small):
     assert jaccard_join.join_components(nothing).count() == 0
 
 
+def test_a_family_of_near_copies_costs_rows_by_its_size(spark, monkeypatch):
+    """A thousand near copies, strays beside them, small blocks: the same components, and no pairs of the family leave."""
+    rng = random.Random(12)
+    base = words(rng, 60, 5000).split()
+    rows = []
+    for i in range(1000):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            own[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own), ""))
+    rows += [(2000 + i, " ".join(base[:40] + words(rng, 20, 5000).split()), "") for i in range(60)]
+    monkeypatch.setattr(jaccard_join, "BLOCK_UNITS", 150)
+    made = []
+    cut = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df: made.append((df.columns, (out := cut(df)).count())) or out)
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    assert collected(jaccard_join.join_components(df)) == plain_components(rows)
+    assert max(n for columns, n in made if columns == ["a", "b"]) < 20_000
+
+
 def test_short_texts_link(spark):
     rows = [(i, f"tiny text {i // 3}", "") for i in range(30)] + [(50 + i, "a b c d e f g h i j k l m n o p q r s t u v w x"[: 47 - 2 * (i % 3)], "") for i in range(9)]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
