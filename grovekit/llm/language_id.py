@@ -23,6 +23,7 @@ TRAIN_ROWS = 3000  # at most so many labelled rows are learnt from, balanced ove
 LANDMARKS = 96
 LANDMARK_GRAMS = (200, 3000)  # preferred size of a landmark's spectrum
 RIDGE = 1e-3
+BROADCAST_CLASSES = 100_000
 SHARPNESS = 6.0
 BINS = 256 + (1 << 16) + (1 << 16)
 UNDETERMINED = "und"
@@ -98,6 +99,8 @@ def balanced_sample(rows: DataFrame, class_col: str, key: Column, n: int) -> Dat
     classes, least = sizes.agg(F.count(F.lit(1)), F.min("__size")).first()
     if not classes:
         return rows.limit(0)
+    if classes <= BROADCAST_CLASSES:
+        sizes = F.broadcast(sizes)  # else texts would be dealt by class, and a few classes hold all
     size = F.col("__size")
     order = (F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))) * size
     each = n / classes
