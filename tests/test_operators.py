@@ -239,3 +239,9 @@ def test_media_links_without_pages(spark):
     m = spark.createDataFrame([("d", "m0", 1, 0, "cap", "image"), ("d", "m1", None, 1, "", "table")], "doc_id string, media_id string, page int, media_index int, media_text string, modality string")
     got = {(r.media_id, r.chunk_id) for r in media.link_media(c, m).collect()}
     assert ("m0", "c2") not in got and ("m0", "c1") in got and {x for a, x in got if a == "m1"} == {"c0", "c1", "c2"}
+
+
+def test_candidates_keep_digits_equal_to_their_place(spark):
+    text = "Aa0 xx Bb1, Cc2. Dd3"
+    assert one(spark, T.candidate_entities(F.lit(text), ascii_safe=True)) == ["Aa0", "Bb1", "Cc2", "Dd3"]
+    assert one(spark, T.candidate_entities(F.lit(text))) == ["Aa0", "Bb1", "Cc2", "Dd3"]
