@@ -22,9 +22,9 @@ def char_windows(docs: DataFrame, size: int = 1024, overlap: int = 128, id_col:
 
 
 def word_windows(docs: DataFrame, size: int = 256, overlap: int = 32, id_col: str = "doc_id", text_col: str = "text", tokenizer: Callable[[Column], Column] = T.tokens, joiner: str = " ") -> DataFrame:
-    """The same with windows of tokens; ``tokenizer`` maps a text to an array of strings, by default its words."""
+    """The same with windows of tokens; ``tokenizer`` maps a text to an array of strings, by default its words. An empty text has no tokens."""
     step = size - overlap
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("__w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.length(text_col) > 0, tokenizer(F.col(text_col))).alias("__w"))
     starts = F.when(F.size("__w") > 0, F.sequence(F.lit(0), F.size("__w") - 1, F.lit(step)))
     parts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_join(F.slice("__w", s + 1, size), joiner).alias("text")))
     out = rows.select("doc_id", F.posexplode(parts).alias("chunk_index", "c"))
