@@ -245,3 +245,15 @@ def test_candidates_keep_digits_equal_to_their_place(spark):
     text = "Aa0 xx Bb1, Cc2. Dd3"
     assert one(spark, T.candidate_entities(F.lit(text), ascii_safe=True)) == ["Aa0", "Bb1", "Cc2", "Dd3"]
     assert one(spark, T.candidate_entities(F.lit(text))) == ["Aa0", "Bb1", "Cc2", "Dd3"]
+
+
+def test_all_pair_paths_are_the_aligned_walks(spark):
+    apart = [(f"x{k}", f"n{k % 3}") for k in range(40)] + [("n0", "r0"), ("n1", "r0"), ("n2", "r1"), ("r0", "root"), ("r1", "root")]
+    crossing = [(f"x{k}", f"x{k // 2}") for k in range(1, 40)]
+    lone = [(f"x{k}", f"x{k}up") for k in range(5)]
+    for tree, count in ((apart, 40), (crossing, 40), (lone, 5)):
+        parents = spark.createDataFrame(tree, "name string, parent string")
+        anchors = spark.createDataFrame([(0, k, f"x{k}") for k in range(count)], "qid int, pos int, anchor string")
+        want = {(r.a, r.b, ">".join(r.path)) for r in retrieval.anchor_paths(anchors, parents, 3).collect()}
+        got = [tuple(r) for r in retrieval.all_pair_paths(anchors.drop("qid"), parents, 3, ">", 7).collect()]
+        assert len(got) == len(set(got)) == count * (count - 1) // 2 and set(got) == want
