@@ -257,3 +257,23 @@ def test_all_pair_paths_are_the_aligned_walks(spark):
         want = {(r.a, r.b, ">".join(r.path)) for r in retrieval.anchor_paths(anchors, parents, 3).collect()}
         got = [tuple(r) for r in retrieval.all_pair_paths(anchors.drop("qid"), parents, 3, ">", 7).collect()]
         assert len(got) == len(set(got)) == count * (count - 1) // 2 and set(got) == want
+
+
+def test_media_lookup_gives_what_all_pairs_give(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    for orders in (range(300), [x * x for x in range(300)]):
+        chunks = []
+        for d in ("a", "b"):
+            for i, o in enumerate(orders):
+                text = rnd.choice([None, "", *[" ".join(rnd.choices(["en", "de", "host", "p", "q", *(["figure", "tab."] if i % 40 == 0 else [])], k=2)) for _ in range(30)]])
+                chunks.append((d, f"c{i:03d}", rnd.choice([None, *range(6)]), o, text))
+        media_rows = [(d, f"{d}{i:03d}", rnd.choice([None, *range(-1, 8)]), i * 3, rnd.choice([None, "", "http host en", "p q zz", "en de host p q"]), rnd.choice(["image", "table", None])) for d in ("a", "b", "none") for i in range(60)]
+        c = spark.createDataFrame(chunks, "doc_id string, chunk_id string, page_start int, order int, text string")
+        m = spark.createDataFrame(media_rows, "doc_id string, media_id string, page int, media_index int, media_text string, modality string")
+        want = {tuple(r) for r in media.link_media(c, m, similarity=F.lit(0.0)).collect()}
+        monkeypatch.setattr(media, "CHUNK_BLOCK", 70)
+        monkeypatch.setattr(media, "MEDIA_BLOCK", 25)
+        got = [tuple(r) for r in media.link_media(c, m).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
