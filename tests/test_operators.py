@@ -1,6 +1,7 @@
 """Rules of single operators on small tables."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grovekit.config import Settings
@@ -277,3 +278,15 @@ def test_media_lookup_gives_what_all_pairs_give(spark, monkeypatch):
         monkeypatch.setattr(media, "MEDIA_BLOCK", 25)
         got = [tuple(r) for r in media.link_media(c, m).collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_batch_search_scores_as_the_plain_dot(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 7]) for i in range(1500)] + [(1500, None), (1501, [1.0]), (1502, [float("nan")] * 5)]
+    nodes = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    queries = nodes.filter("vec_id % 50 = 0 and vec_id < 1500").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    plain = nodes.crossJoin(queries).select("qid", "vec_id", T.dot("embedding", "q").alias("score")).withColumn("rank", F.row_number().over(w)).filter("rank <= 4")
+    search = retrieval.vector_top_k_batch(nodes, queries, 4)
+    assert {repr(tuple(r)) for r in search.collect()} == {repr(tuple(r)) for r in plain.collect()}
+    assert "MapInArrow" in search._jdf.queryExecution().toString()
