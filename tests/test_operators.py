@@ -1,6 +1,9 @@
 """Rules of single operators on small tables."""
 
+import re
+
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -290,3 +293,24 @@ def test_batch_search_scores_as_the_plain_dot(spark):
     search = retrieval.vector_top_k_batch(nodes, queries, 4)
     assert {repr(tuple(r)) for r in search.collect()} == {repr(tuple(r)) for r in plain.collect()}
     assert "MapInArrow" in search._jdf.queryExecution().toString()
+
+
+def test_answer_scores_work_each_part_out_once(spark):
+    df = spark.createDataFrame([("['the red box', 'blue cup']", "blue cup, red box", "List"), ("12 or 50%", "0.5", "Float"), ("3.25", "325% in all", "Float"), ("7", "8", "Int"), ("nan", "unknown", "List"), ("b a", "a b b", None), ("['x']", ",", "List")], "g string, p string, f string")
+    assert [r[0] for r in df.select(T.answer_scores("g", "p", "f")[0]).collect()] == [1.0, 1.0, 1.0, 0.0, 1.0, pytest.approx(2 / 3), 0.0]
+    steps = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_")
+    alone = steps(T.normalize_answer("g"))
+    assert steps(T.list_f1(F.array("g"), "p")) == 2 * alone and steps(T.numeric_match("g", "p")) == 2 * steps(T.numbers("g"))
+    items = [f"the item {i:03d}" for i in range(300)]
+    assert one(spark, T.list_f1(F.lit(items), F.lit("; ".join(reversed(items[150:]))))) == pytest.approx(2 / 3)
+
+
+def test_normalised_answers_keep_to_their_rules(spark):
+    texts = ["An ant, a-the THE then.the_an/a", "a b", "b a", " a  an the ", "the", "x\ta\ny", "éa aé İa", "a b" * 3, "and a band an", None, "the a an " * 30_000]
+
+    def plain(t):
+        kept = re.sub(r"[^a-z0-9.%/-]+", " ", t.lower())
+        return re.sub(r" +", " ", re.sub(r"\b(a|an|the)\b", " ", kept)).strip(" ")
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.normalize_answer("t")).collect()] == [t and plain(t) for t in texts]
